@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import decontaminate, pii, simhash
+from quadrille.llm import decontaminate, language, packing, pii, quality, simhash, vectors
 from quadrille.llm.common import table
 
 
@@ -14,12 +14,28 @@ def op2_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark, sf_dir):
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op5_packing, op7_quality, op8_decontaminate, op9_language, op10_embeddings)}
 
 
 def oracle_sql():
