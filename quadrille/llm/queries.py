@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import decontaminate, language, packing, pii, quality, simhash, vectors
+from quadrille.llm import decontaminate, language, licenses, packing, pii, quality, secrets, simhash, vectors
 from quadrille.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op2_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +43,7 @@ def op10_embeddings(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op5_packing, op7_quality, op8_decontaminate, op9_language, op10_embeddings)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op4_licenses, op5_packing, op6_secrets, op7_quality, op8_decontaminate, op9_language, op10_embeddings)}
 
 
 def oracle_sql():
