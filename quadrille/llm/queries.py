@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import decontaminate, language, licenses, packing, pii, quality, secrets, simhash, vectors
+from quadrille.llm import decontaminate, language, licenses, mixing, packing, pii, quality, secrets, simhash, vectors
 from quadrille.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark, sf_dir):
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_embeddings(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op4_licenses, op5_packing, op6_secrets, op7_quality, op8_decontaminate, op9_language, op10_embeddings)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_mixing, op4_licenses, op5_packing, op6_secrets, op7_quality, op8_decontaminate, op9_language, op10_embeddings)}
 
 
 def oracle_sql():
