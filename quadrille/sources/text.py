@@ -1,7 +1,7 @@
 """Text formats: point files, typed sequences, graphs and meshes, read and written in parallel.
 
-Readers number lines or tokens with one count for each partition; nothing is read twice
-on the driver but the header. Writers sort by position, so part files on end are the file;
+Readers number lines or tokens with one count for each split; only the header reaches the
+driver. A token that is no number where one should be becomes null. Writers sort by position, so part files on end are the file;
 ``files`` sets how many.
 """
 
@@ -35,15 +35,32 @@ def with_row_index(df: DataFrame, name: str = "id") -> DataFrame:
     return marked.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of text files numbered from 0 in the order of file names and of places in a file.
+
+    Spark deals files to tasks by size, so the order of tasks isn't that of the file: splits
+    are put in order by name and start, and a row by its place in its split.
+    """
+    split = F.struct(F.col("__file.file_path").alias("path"), F.col("__file.file_block_start").alias("start"))
+    marked = rows.withColumn("__mid", F.monotonically_increasing_id()).withColumn("__split", split).drop("__file")
+    sizes = marked.groupBy("__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).drop("__n")
+    return marked.join(F.broadcast(before), "__split").withColumn(name, F.col("__before") + F.col("__mid") - F.col("__first")).drop("__split", "__mid", "__first", "__before")
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata").alias("__file"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file in order: (line, n); blank ones don't count."""
-    return with_row_index(spark.read.text(path).where(F.trim("value") != ""), "n").select(F.trim("value").alias("line"), "n")
+    """Lines in order: (line, n); blank ones don't count."""
+    return _numbered(_text(spark, path).where(F.trim("value") != ""), "n").select(F.trim("value").alias("line"), "n")
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
     """(pos, token) of a file split at white space and NUL, numbered from 0."""
-    split = spark.read.text(path).select(F.explode(F.split(F.trim(F.regexp_replace("value", "[\\s\\x00]+", " ")), " ")).alias("token")).where("token <> ''")
-    return with_row_index(split, "pos").select("pos", "token")
+    split = _text(spark, path).select("__file", F.explode(F.split(F.trim(F.regexp_replace("value", "[\\s\\x00]+", " ")), " ")).alias("token")).where("token <> ''")
+    return _numbered(split, "pos").select("pos", "token")
 
 
 def read_points(spark: SparkSession, path: str, kind: str = "double", dims: int | None = None) -> DataFrame:
@@ -55,12 +72,12 @@ def read_points(spark: SparkSession, path: str, kind: str = "double", dims: int
     n, dim = (int(x) for x in lines.where("n = 0").first().line.split())
     parts = F.split("line", "\\s+")
     keep = min(dims or dim, dim)
-    return lines.where((F.col("n") >= 1) & (F.col("n") <= n)).select((F.col("n") - 1).alias("id"), *[parts[i].cast(kind).alias(f"c{i}") for i in range(keep)])
+    return lines.where((F.col("n") >= 1) & (F.col("n") <= n)).select((F.col("n") - 1).alias("id"), *[parts[i].try_cast(kind).alias(f"c{i}") for i in range(keep)])
 
 
 def grouped_points(toks: DataFrame, dim: int, kind: str = "double", first: int = 0) -> DataFrame:
     """Every ``dim`` tokens from position ``first`` as a point."""
-    at = toks.where(F.col("pos") >= first).select(((F.col("pos") - first) / dim).cast("long").alias("id"), ((F.col("pos") - first) % dim).alias("i"), F.col("token").cast(kind).alias("x"))
+    at = toks.where(F.col("pos") >= first).select(((F.col("pos") - first) / dim).cast("long").alias("id"), ((F.col("pos") - first) % dim).alias("i"), F.col("token").try_cast(kind).alias("x"))
     return at.groupBy("id").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"c{i}") for i in range(dim)])
 
 
@@ -82,10 +99,10 @@ def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     toks = tokens(spark, path)
     kind = SEQUENCES[_expect(toks, set(SEQUENCES))]
     if not kind.startswith("struct"):
-        return toks.where("pos > 0").select((F.col("pos") - 1).alias("id"), F.col("token").cast(kind).alias("value"))
+        return toks.where("pos > 0").select((F.col("pos") - 1).alias("id"), F.col("token").try_cast(kind).alias("value"))
     pairs = grouped_points(toks, 2, "string", 1)
     a, b = (x.split(":")[1].rstrip(">") for x in kind[7:].split(","))
-    return pairs.select("id", F.struct(F.col("c0").cast(a).alias("a"), F.col("c1").cast(b).alias("b")).alias("value"))
+    return pairs.select("id", F.struct(F.col("c0").try_cast(a).alias("a"), F.col("c1").try_cast(b).alias("b")).alias("value"))
 
 
 def read_triangles(spark: SparkSession, path: str, offset: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +124,7 @@ def read_graph(spark: SparkSession, path: str, weights: str = "double") -> DataF
     toks = tokens(spark, path)
     weighted = _expect(toks, {GRAPH, WEIGHTED_GRAPH}) == WEIGHTED_GRAPH
     n, m = (int(r.token) for r in toks.where("pos IN (1, 2)").orderBy("pos").collect())
-    value = F.col("token").cast("long")
+    value = F.col("token").try_cast("long")
     starts = toks.where(F.col("pos").between(3, 2 + n)).select((F.col("pos") - 3).alias("src"), value.alias("start"))
     ends = starts.select((F.col("src") - 1).alias("src"), F.col("start").alias("end"))
     spans = starts.join(ends, "src", "left").withColumn("end", F.coalesce("end", F.lit(m))).where("end > start")
@@ -115,7 +132,7 @@ def read_graph(spark: SparkSession, path: str, weights: str = "double") -> DataF
     targets = toks.where(F.col("pos").between(3 + n, 2 + n + m)).select((F.col("pos") - 3 - n).alias("e"), value.alias("dst"))
     edges = of.join(targets, "e")
     if weighted:
-        edges = edges.join(toks.where(F.col("pos") >= 3 + n + m).select((F.col("pos") - 3 - n - m).alias("e"), F.col("token").cast(weights).alias("w")), "e")
+        edges = edges.join(toks.where(F.col("pos") >= 3 + n + m).select((F.col("pos") - 3 - n - m).alias("e"), F.col("token").try_cast(weights).alias("w")), "e")
     return edges.drop("e")
 
 
@@ -124,7 +141,7 @@ def read_edges(spark: SparkSession, path: str, weights: str = "double") -> DataF
     toks = tokens(spark, path)
     weighted = _expect(toks, {EDGES, WEIGHTED_EDGES}) == WEIGHTED_EDGES
     rows = grouped_points(toks, 3 if weighted else 2, "string", 1)
-    return rows.select(F.col("c0").cast("long").alias("src"), F.col("c1").cast("long").alias("dst"), *([F.col("c2").cast(weights).alias("w")] if weighted else []))
+    return rows.select(F.col("c0").cast("long").alias("src"), F.col("c1").cast("long").alias("dst"), *([F.col("c2").try_cast(weights).alias("w")] if weighted else []))
 
 
 # ---------------------------------------------------------------- writers
