@@ -3,17 +3,19 @@
 Method: vectors are scaled to length one and reduced to distinct ones of a label, so equal
 copies cost one row. Coarse centroids (k-means on at most ``SAMPLE`` vectors) give inverted
 lists; every vector is filed in the list of its nearest centroid, as codes of its residual
-in ``PARTS`` subspaces and the exact length of what the codes leave out. As a query it
-probes every list that a partner can be in: a vector within distance r of x lies nearer to
-its own centroid c than to that of x, so x is at most r beyond the plane between the two;
-lists farther off are left out. In a list, table lookups give the distance to each coded
-vector; it errs by the length left out at most, so pairs beyond r plus that are dropped
-and no true pair is. What remains is compared by its exact cosine in double precision.
+in ``PARTS`` subspaces and the exact length of what the codes leave out. It asks in its own
+list and probes others: partners x and y within distance r lie on either side of the plane
+between their two centroids, so one of them is within r/2 of it. Each vector probes the
+lists whose plane is that near; the pair is then found from one side at least, and counted
+from the side that is nearer (the smaller number, if equal). In a list, table lookups give
+the distance to each coded vector; it errs by the length left out at most, so pairs beyond
+r plus that are dropped and no true pair is. What remains is compared by its exact cosine
+in double precision.
 
 The sufficient probes and the error bound make the join whole: no link is lost, at any
 size. A list (of one label) is dealt to cells of at most about ``BLOCK`` filed and
-``BLOCK`` probing vectors, each cell a task's group, so a hot list is split. A cell counts
-each probing vector's links and returns a spanning forest of them, never all pairs.
+``BLOCK`` asking vectors, each cell a task's group, so a hot list is split. A cell counts
+its vectors' links and returns a spanning forest of them, never all pairs.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components,
 or whose label is null, links with nothing and is its own class; vectors of different
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ COSINE = 0.98
 SAMPLE = 10_000
 PARTS = 8
 CODES = 64
-BLOCK = 512
+BLOCK = 256
 _SLACK = 1e-6
 
 
@@ -77,11 +80,19 @@ class Quantiser:
         left = np.sqrt(sum(((rest[:, c] - f[codes[:, k]]) ** 2).sum(axis=1) for k, (c, f) in enumerate(zip(self.cuts, self.fine))))
         return near, codes.astype(np.uint8), left
 
+    def beyond(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each vector is from the plane between its centroid and another, row by row."""
+        c, d = self.coarse[own], self.coarse[other]
+        far = ((x - d) ** 2).sum(axis=1) - ((x - c) ** 2).sum(axis=1)
+        return far / np.maximum(2 * np.sqrt(((c - d) ** 2).sum(axis=1)), 1e-300)
+
     def probes(self, x: np.ndarray, near: np.ndarray, radius: float) -> np.ndarray:
-        """For each vector, whether a partner within ``radius`` can be filed in a list."""
+        """For each vector, the other lists whose plane is within half the radius."""
         far = squared(x, self.coarse)
         apart = np.sqrt(squared(self.coarse, self.coarse))[near]
-        return far - far[np.arange(len(x)), near][:, None] <= 2 * (radius + _SLACK) * apart + _SLACK
+        found = far - far[np.arange(len(x)), near][:, None] <= 2 * (radius / 2 + _SLACK) * apart + _SLACK
+        found[np.arange(len(x)), near] = False
+        return found
 
     def table(self, x: np.ndarray, at: int) -> list[np.ndarray]:
         """Squared distances from residuals of ``x`` in list ``at`` to all codes, by subspace."""
@@ -89,32 +100,54 @@ class Quantiser:
         return [squared(rest[:, c], f) for c, f in zip(self.cuts, self.fine)]
 
 
-def _usable(vectors: pd.Series) -> np.ndarray:
-    return np.array([v is not None and len(v) > 0 and bool(np.isfinite(a := np.asarray(v, dtype=float)).all()) and bool((a != 0).any()) for v in vectors], dtype=bool)
+def _matrix(blobs, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, dim).astype(float)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(float)
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-FILED = "uid long, label string, vector array<double>, copies long, list int, codes binary, left_out double, probing boolean"
+def _pack(kind: str):
+    """Vectors as bytes; null if they can't link."""
+
+    def run(batches):
+        for batch in batches:
+            column, labels = batch.column(2), batch.column(1)
+            starts = column.offsets.to_numpy(zero_copy_only=False)
+            flat = column.values.to_numpy(zero_copy_only=False).astype(kind)  # a null is nan
+            good = np.isfinite(flat)
+            blobs = []
+            for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                part = flat[a:b]
+                usable = column[k].is_valid and labels[k].is_valid and b > a and bool(good[a:b].all()) and bool(part.any())
+                blobs.append(part.tobytes() if usable else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), labels, pa.array(blobs, pa.binary())], names=["vec_id", "label", "blob"])
+
+    return run
 
 
-def _file(quantisers, radius: float):
-    """Each distinct vector once as filed and once for each list that it probes."""
+FILED = "uid long, label string, blob binary, copies long, own int, list int, codes binary, left_out double"
 
-    def run(frames):
-        for frame in frames:
-            for dim, group in frame.groupby(frame["vector"].map(len)):
-                q: Quantiser = quantisers.value[int(dim)]
-                x = _unit(group["vector"])
-                near, codes, left = q.encode(x)
-                filed = group.assign(list=near.astype("int32"), codes=[c.tobytes() for c in codes], left_out=left, probing=False)
-                row, at = np.nonzero(q.probes(x, near, radius))
-                probing = group.iloc[row].assign(list=at.astype("int32"), codes=None, left_out=0.0, probing=True)
-                yield pd.concat([filed, probing])[["uid", "label", "vector", "copies", "list", "codes", "left_out", "probing"]]
+
+def _file(quantisers, radius: float, kind: str):
+    """Each distinct vector once in its own list, with codes, and once in each list that it probes, without."""
+    width = np.dtype(kind).itemsize
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                frame = batch.slice(at, 1024).to_pandas()
+                for dim, group in frame.groupby(frame["blob"].map(len) // width):
+                    q: Quantiser = quantisers.value[int(dim)]
+                    x = _unit(_matrix(group["blob"], int(dim), kind))
+                    near, codes, left = q.encode(x)
+                    filed = group.assign(own=near, list=near, codes=[c.tobytes() for c in codes], left_out=left)
+                    row, other = np.nonzero(q.probes(x, near, radius))
+                    probing = group.iloc[row].assign(own=near[row], list=other, codes=None, left_out=0.0)
+                    out = pd.concat([filed, probing]) if len(row) else filed
+                    yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(("uid", "label", "blob", "copies", "own", "list", "codes", "left_out"), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64()))], names=["uid", "label", "blob", "copies", "own", "list", "codes", "left_out"])
 
     return run
 
@@ -122,51 +155,66 @@ def _file(quantisers, radius: float):
 LINKED = "uid long, other long, links long"
 
 
-def _compare(quantisers, cosine: float, radius: float):
-    """Links of one cell: counts for each probing vector, and a spanning forest."""
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, in doubles; where squares leave a double's range, of the scaled rows."""
+    with np.errstate(all="ignore"):
+        dot = np.einsum("ij,ij->i", x, y)
+        long = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+        exact = dot / long
+    unsure = ~np.isfinite(long) | ~np.isfinite(dot) | (long < 1e-280)
+    if unsure.any():
+        exact[unsure] = np.einsum("ij,ij->i", _unit(x[unsure]), _unit(y[unsure]))
+    return exact
+
+
+def _compare(quantisers, cosine: float, radius: float, kind: str):
+    """Links of one cell: counts for each vector, and a spanning forest."""
+    width = np.dtype(kind).itemsize
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        for _, group in cell.groupby(cell["vector"].map(len)):
-            filed, asking = group[~group["probing"]], group[group["probing"]]
+        counts: dict[int, int] = {}
+        up: dict[int, int] = {}
+
+        def root(a: int) -> int:
+            while up.setdefault(a, a) != a:
+                up[a] = up[up[a]]
+                a = up[a]
+            return a
+
+        for dim, group in cell.groupby(cell["blob"].map(len) // width):
+            filed, asking = group[group["filed"]], group[group["asking"]]
             if not len(filed) or not len(asking):
                 continue
-            q: Quantiser = quantisers.value[len(filed["vector"].iloc[0])]
+            q: Quantiser = quantisers.value[int(dim)]
+            here = int(filed["list"].iloc[0])
             codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in filed["codes"]])
-            left, copies, ids = filed["left_out"].to_numpy(), filed["copies"].to_numpy(), filed["uid"].to_numpy()
-            y = np.stack(filed["vector"].to_numpy()).astype(float)
-            with np.errstate(over="ignore"):
-                y_len = np.sqrt((y * y).sum(axis=1))
-            y_unit, x_unit = _unit(filed["vector"]), _unit(asking["vector"])
-            x = np.stack(asking["vector"].to_numpy()).astype(float)
-            up = {}
-
-            def root(a: int) -> int:
-                while up.setdefault(a, a) != a:
-                    up[a] = up[up[a]]
-                    a = up[a]
-                return a
-
+            left, y_id, y_copies = (filed[c].to_numpy() for c in ("left_out", "uid", "copies"))
+            x_id, x_own, x_copies = (asking[c].to_numpy() for c in ("uid", "own", "copies"))
+            y, x = _matrix(filed["blob"], int(dim), kind), _matrix(asking["blob"], int(dim), kind)
+            y_unit, x_unit = _unit(y), _unit(x)
             for i in range(0, len(x), 64):
-                tables = q.table(x_unit[i : i + 64], int(filed["list"].iloc[0]))
-                near = sum(t[:, codes[:, k]] for k, t in enumerate(tables))
+                near = sum(t[:, codes[:, k]] for k, t in enumerate(q.table(x_unit[i : i + 64], here)))
                 row, at = np.nonzero(np.sqrt(np.maximum(near, 0)) <= radius + left + _SLACK)
-                with np.errstate(all="ignore"):
-                    dot = np.einsum("ij,ij->i", x[i + row], y[at])
-                    long = np.sqrt((x[i + row] ** 2).sum(axis=1)) * y_len[at]
-                    exact = dot / long
-                unsure = ~np.isfinite(long) | ~np.isfinite(dot) | (long < 1e-280)  # squares beyond a double's range
-                exact[unsure] = np.einsum("ij,ij->i", x_unit[i + row[unsure]], y_unit[at[unsure]])
-                mine = asking["uid"].to_numpy()[i : i + 64]
-                linked = (exact >= cosine) & (mine[row] != ids[at])
+                row += i
+                mine = (x_own[row] != here) | (x_id[row] < y_id[at])  # in one list, from the smaller number
+                row, at = row[mine], at[mine]
+                linked = cosines(x[row], y[at]) >= cosine
                 row, at = row[linked], at[linked]
-                counts = np.bincount(row, weights=copies[at], minlength=len(mine))
-                for r in np.flatnonzero(counts):
-                    found.append((int(mine[r]), int(mine[r]), int(counts[r])))
-                for a, b in zip(mine[row].tolist(), ids[at].tolist()):
+                across = np.flatnonzero(x_own[row] != here)
+                if len(across):
+                    own, there = x_own[row[across]], np.full(len(across), here)
+                    mine, yours = q.beyond(x_unit[row[across]], own, there), q.beyond(y_unit[at[across]], there, own)
+                    asked_too = yours <= radius / 2 + _SLACK / 2  # then the other side finds the pair for sure
+                    drop = asked_too & ((yours < mine) | ((yours == mine) & (y_id[at[across]] < x_id[row[across]])))
+                    keep = np.ones(len(row), dtype=bool)
+                    keep[across[drop]] = False
+                    row, at = row[keep], at[keep]
+                for a, b, m, n in zip(x_id[row].tolist(), y_id[at].tolist(), x_copies[row].tolist(), y_copies[at].tolist()):
+                    counts[a] = counts.get(a, 0) + n
+                    counts[b] = counts.get(b, 0) + m
                     if (a := root(a)) != (b := root(b)):
                         up[max(a, b)] = min(a, b)
-            found += [(a, root(a), 0) for a in list(up) if root(a) != a]
+        found = [(a, root(a), n) for a, n in counts.items()]
         return pd.DataFrame(found, columns=["uid", "other", "links"])
 
     return run
@@ -176,36 +224,37 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """vec_id, n_links, component_id, kept for each vector."""
     spark = vectors.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
-    usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (length > 0)
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    keyed = settle(rows.select("vec_id", F.when(F.col("usable"), F.sha2(F.to_json(F.struct("label", "vector")), 256)).alias("copy"), F.when(F.col("usable"), F.col("label")).alias("label"), F.when(F.col("usable"), F.col("vector")).alias("vector")), "vectors-keyed")
+    kind = "float32" if dict(vectors.dtypes)[vector] == "array<float>" else "float64"
+    wide = "array<float>" if kind == "float32" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(wide).alias("vector"))
+    packed = rows.mapInArrow(_pack(kind), "vec_id long, label string, blob binary")
+    key = F.when(F.col("blob").isNotNull(), F.sha2(F.concat(F.encode("label", "utf-8"), F.lit(b":"), F.col("blob")), 256))
+    keyed = settle(packed.select("vec_id", key.alias("copy"), "label", "blob"), "vectors-keyed")
+    alone = keyed.where("copy IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
 
-    firsts = keyed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("label", "vector")).alias("v"))
-    distinct = settle(firsts.select("copy", "first_id", "copies", "v.label", "v.vector", F.monotonically_increasing_id().alias("uid")), "vectors-distinct")
-    if distinct.isEmpty():
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    firsts = keyed.where("copy IS NOT NULL").groupBy("copy", "label", "blob").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    distinct = settle(firsts.withColumn("uid", F.monotonically_increasing_id()), "vectors-distinct")
 
     # A bounded sample of each dimension fits the quantisers.
-    sizes = {r.dim: r.n for r in distinct.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    dim = (F.length("blob") / np.dtype(kind).itemsize).cast("int")
+    sizes = {r.dim: r.n for r in distinct.groupBy(dim.alias("dim")).agg(F.count(F.lit(1)).alias("n")).limit(64).collect()}
     if len(sizes) == 64:
         raise ValueError("vectors of 64 different lengths or more")
     fitted = {}
-    for dim, n in sizes.items():
-        part = distinct.where(F.size("vector") == dim).orderBy(F.xxhash64("copy"), "copy").limit(sample).select("vector").toPandas()["vector"]
-        fitted[dim] = Quantiser(_unit(part), lists or int(min(1024, max(16, np.sqrt(n) / 2))))
+    for d, n in sizes.items():
+        part = distinct.where(dim == d).orderBy(F.xxhash64("copy"), "copy").limit(sample).select("blob").collect()
+        fitted[d] = Quantiser(_unit(_matrix([r.blob for r in part], d, kind)), lists or int(min(1024, max(16, np.sqrt(n) / 4))))
     quantisers = spark.sparkContext.broadcast(fitted)
 
-    filed = settle(distinct.select("uid", "label", "vector", "copies").mapInPandas(_file(quantisers, radius), FILED), "vectors-filed")
-    size = filed.groupBy("label", "list").agg(F.ceil(F.count_if(~F.col("probing")) / block).alias("filed_cells"), F.ceil(F.count_if("probing") / block).alias("asking_cells")).where("filed_cells > 0 AND asking_cells > 0")
+    filed = distinct.select("uid", "label", "blob", "copies").mapInArrow(_file(quantisers, radius, kind), FILED)
+    size = settle(filed.groupBy("label", "list").agg(F.ceil(F.count("codes") / block).alias("filed_cells"), F.ceil(F.count(F.lit(1)) / block).alias("asking_cells")).where("filed_cells > 0"), "vectors-lists")
     dealt = filed.join(size, ["label", "list"])
-    own = F.pmod(F.xxhash64("uid"), F.when(F.col("probing"), F.col("asking_cells")).otherwise(F.col("filed_cells")))
-    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("probing"), F.col("filed_cells")).otherwise(F.col("asking_cells")) - 1)
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-    cells = dealt.withColumn("filed_cell", F.when(F.col("probing"), F.col("other")).otherwise(F.col("own"))).withColumn("asking_cell", F.when(F.col("probing"), F.col("own")).otherwise(F.col("other")))
-    linked = cells.select("uid", "vector", "copies", "label", "list", "codes", "left_out", "probing", "filed_cell", "asking_cell").groupBy("label", "list", "filed_cell", "asking_cell").applyInPandas(_compare(quantisers, cosine, radius), LINKED)
-    linked = settle(linked, "vectors-linked")
+    dealt = dealt.withColumn("i", F.when(F.col("codes").isNotNull(), F.pmod(F.xxhash64("uid"), "filed_cells"))).withColumn("j", F.pmod(F.xxhash64("uid", F.lit(1)), "asking_cells"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asks = F.transform(upto("filed_cells"), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.coalesce(i == F.col("i"), F.lit(False)).alias("filed"), F.lit(True).alias("asking")))
+    files = F.transform(F.filter(upto("asking_cells"), lambda j: F.col("codes").isNotNull() & (j != F.col("j"))), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(True).alias("filed"), F.lit(False).alias("asking")))
+    cells = dealt.withColumn("cell", F.explode(F.concat(asks, files))).select("uid", "blob", "copies", "own", "list", "codes", "left_out", "label", "cell.i", "cell.j", "cell.filed", "cell.asking")
+    linked = settle(cells.groupBy("label", "list", "i", "j").applyInPandas(_compare(quantisers, cosine, radius, kind), LINKED), "vectors-linked")
 
     counts = linked.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(linked.where("uid <> other").select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct(), "vectors-components")
@@ -213,7 +262,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     named = named.select("copy", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = settle(named.join(least, "root").select("copy", "n_links", "component_id"), "vectors-classes")
-    # Rows without a partner of any kind have no key; dealing them by it would gather them.
-    alone = keyed.where("copy IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     together = keyed.where("copy IS NOT NULL").select("vec_id", "copy").join(classes, "copy").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     return together.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -40,8 +40,7 @@ def got(frame):
     return sorted((repr(r.vec_id), r.n_links, repr(r.component_id), r.kept) for r in frame.collect())
 
 
-def test_query_equals_brute_force(spark):
-    sf_dir = "/root/testdata/sf0.01"
+def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     want = brute(rows)
     assert got(op10_embeddings(spark, sf_dir)) == want
@@ -62,6 +61,17 @@ def test_awkward_rows(spark):
     assert got(vectors.near_duplicates(frame, block=16, lists=5)) == brute(awkward())
 
 
+def test_clusters_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 32))
+    rows = [(i, (base[i % 300 if i % 2 else 7] + 0.1 * rng.normal(size=32)).astype(np.float32).tolist(), i % 3) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute(rows)
+    assert sum(x[1] for x in want) > 10_000
+    for lists in (8, 40):
+        assert got(vectors.near_duplicates(frame, lists=lists, block=64)) == want
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert vectors.near_duplicates(frame).count() == 0
