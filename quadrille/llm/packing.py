@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,7 +39,8 @@ from quadrille.llm.common import settle
 LENGTH = 2048
 GRAIN = 8
 END = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
+_MARKS = b".,!?%&*#$;:|)]}\"-"  # together one word of the vocabulary's splitting
 
 
 # ---------------------------------------------------------------- tokens
@@ -48,7 +50,10 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     White space never enters a token of this vocabulary, so a text's ids are those of its
-    runs between ASCII white space; runs are kept with their ids, up to ``CACHE_WORDS``.
+    runs between ASCII white space. Runs are kept with their ids in two generations of at
+    most ``CACHE_WORDS``. A run of letters is one word of the vocabulary's own splitting,
+    whose last token alone is marked as an end; so new words are encoded many at a time,
+    as one text, and parted at the marks. Other runs are encoded one by one.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -56,24 +61,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
         self.end = end.to_bytes(4, "little")
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, runs: set[bytes]) -> None:
-        new = list(runs)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for run, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self.known[run] = np.array(found.ids, dtype="<u4").tobytes()
+        self.older: dict[bytes, bytes] = {}
+
+    def _one(self, run: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_words(self, new: list[bytes]) -> None:
+        """Runs that are all letters after normalising."""
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # letters to one side only
+                self.known.update((run, self._one(run)) for run in part)
+                continue
+            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+
+    def learn(self, new: set[bytes]) -> None:
+        words, marked = set(), []
+        for run in new:
+            if self.older and (old := self.older.get(run)) is not None:
+                self.known[run] = old
+                continue
+            # case of ASCII letters doesn't matter, but for the special tokens "<|...|>"
+            core = run.lower() if b"<" not in run else run
+            tail = core[len(core.rstrip(_MARKS)) :]
+            core = core[: len(core) - len(tail)]
+            if core and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
+                if core not in self.known:
+                    words.add(core)
+                if core != run:
+                    marked.append((run, core, tail))
+            else:
+                self.known[run] = self._one(run)
+        self._learn_words(list(words))
+        for run, core, tail in marked:
+            if tail and tail not in self.known:
+                self.known[tail] = self._one(tail)
+            self.known[run] = self.known[core] + (self.known[tail] if tail else b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         runs = [x.split() for x in texts]
-        wanted = set(itertools.chain.from_iterable(runs))
-        missing = wanted.difference(self.known)
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        missing = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(runs)))
         if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known.clear()
-                missing = wanted
             self.learn(missing)
         get = self.known.__getitem__
         return [b"".join([*map(get, x), self.end]) for x in runs]
