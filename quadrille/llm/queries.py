@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import decontaminate, language, licenses, mixing, packing, pii, quality, secrets, simhash, vectors
+from quadrille.llm import decontaminate, language, licenses, mixing, oracles, packing, pii, quality, secrets, simhash, vectors
 from quadrille.llm.common import table
 
 
@@ -51,4 +51,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """What SQL can express; the other queries are tested against brute force in ``tests/llm``."""
+    return {"op4_licenses": oracles.LICENSES, "op6_secrets": oracles.SECRETS, "op8_decontaminate": oracles.DECONTAMINATE, "op10_embeddings": oracles.EMBEDDINGS}
