@@ -17,13 +17,13 @@ from quadrille.functions.geometry import array_dist2, coords, dist2
 QUERY_BLOCK = 10_000
 
 
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """(qid, nid, dist2, rk): the k closest of each qid, by (dist2, nid); planned as a partial and a final limit."""
-    order = Window.partitionBy("qid").orderBy("dist2", "nid")
+def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(qid, nid, dist2, rk): the k closest of each qid (and further keys), by (dist2, nid); planned as a partial and a final limit."""
+    order = Window.partitionBy(*keys, "qid").orderBy("dist2", "nid")
     return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).withColumn("rk", F.col("rk").cast("long"))
 
 
-def _blocks(queries: DataFrame, pair: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def in_blocks(queries: DataFrame, pair: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Union of joins with blocks of queries, each small enough to broadcast."""
     n = -(-queries.count() // QUERY_BLOCK) or 1
     out = None
@@ -38,13 +38,13 @@ def brute_knn(queries: DataFrame, points: DataFrame, k: int, dim: int, exclude_s
     """queries: qid, q0 ..; points: id, c0 ... With ``exclude_self`` a row doesn't meet its own id."""
     distance = dist2(coords(dim), coords(dim, "q"))
     keep: Column = (F.col("id") != F.col("qid")) if exclude_self else F.lit(True)
-    return top_k(_blocks(queries, lambda q: points.join(q, keep).select("qid", F.col("id").alias("nid"), distance.alias("dist2"))), k)
+    return top_k(in_blocks(queries, lambda q: points.join(q, keep).select("qid", F.col("id").alias("nid"), distance.alias("dist2"))), k)
 
 
 def brute_knn_arrays(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """queries: qid, q (array); points: id, v (array)."""
     keep: Column = (F.col("id") != F.col("qid")) if exclude_self else F.lit(True)
-    return top_k(_blocks(queries, lambda q: points.join(q, keep).select("qid", F.col("id").alias("nid"), array_dist2(F.col("v"), F.col("q")).alias("dist2"))), k)
+    return top_k(in_blocks(queries, lambda q: points.join(q, keep).select("qid", F.col("id").alias("nid"), array_dist2(F.col("v"), F.col("q")).alias("dist2"))), k)
 
 
 def kth_distance(neighbours: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import coords, dist2
-from quadrille.operators.knn import brute_knn
+from quadrille.operators.knn import brute_knn, in_blocks, top_k
 
 WINDOW = 5
 
@@ -22,16 +22,19 @@ def deduplicated_slice(rows: DataFrame, keys: list[str], ts: str, start: str, en
     return kept.withColumn("year", F.year(t)).withColumn("month", F.month(t))
 
 
-def live_rows(periods: DataFrame, length: int = WINDOW) -> DataFrame:
-    """Each row once for each period at whose end it is live: its own and the next few that exist.
+def _live_at(periods: DataFrame, length: int) -> DataFrame:
+    """(period, at_period): the periods at whose end a period is live, its own and the next few that exist.
 
     Periods are numbered in order, so a gap in the calendar doesn't lengthen the window.
     """
-    numbers = periods.groupBy("period").agg(F.count(F.lit(1)).alias("n")).withColumn("number", F.row_number().over(Window.orderBy("period")))
-    numbers = F.broadcast(numbers.select("period", "number"))
-    at = F.broadcast(numbers.select(F.col("period").alias("at_period"), F.col("number").alias("at_number")))
-    live = periods.join(numbers, "period").withColumn("at_number", F.explode(F.sequence(F.col("number"), F.col("number") + length - 1)))
-    return live.join(at, "at_number").drop("number", "at_number")
+    numbers = periods.select("period").distinct().withColumn("number", F.row_number().over(Window.orderBy("period")))
+    at = numbers.select(F.col("period").alias("at_period"), F.col("number").alias("at_number"))
+    return numbers.withColumn("at_number", F.explode(F.sequence(F.col("number"), F.col("number") + length - 1))).join(at, "at_number").select("period", "at_period")
+
+
+def live_rows(periods: DataFrame, length: int = WINDOW) -> DataFrame:
+    """Each row once for each period at whose end it is live."""
+    return periods.join(_live_at(periods, length), "period")
 
 
 def window_counts(periods: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -42,11 +45,13 @@ def window_counts(periods: DataFrame, length: int = WINDOW) -> DataFrame:
 
 
 def window_knn(periods: DataFrame, queries: DataFrame, k: int, dim: int, length: int = WINDOW) -> DataFrame:
-    """(at_period, qid, nid, dist2, rk): neighbours of fixed queries among the rows live after each period."""
-    live = live_rows(periods, length)
-    order = Window.partitionBy("at_period", "qid").orderBy("dist2", "nid")
-    pairs = live.join(F.broadcast(queries)).select("at_period", "qid", F.col("id").alias("nid"), dist2(coords(dim), coords(dim, "q")).alias("dist2"))
-    return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).withColumn("rk", F.col("rk").cast("long"))
+    """(at_period, qid, nid, dist2, rk): neighbours of fixed queries among the rows live after each period.
+
+    Each row meets the queries once: a window's neighbours are among those of its periods.
+    """
+    pairs = in_blocks(queries, lambda q: periods.join(q).select("period", "qid", F.col("id").alias("nid"), dist2(coords(dim), coords(dim, "q")).alias("dist2")))
+    of_period = top_k(pairs, k, "period").drop("rk")
+    return top_k(of_period.join(_live_at(periods, length), "period").drop("period"), k, "at_period")
 
 
 def prefix_knn(points: DataFrame, queries: DataFrame, upto: int, k: int, dim: int) -> DataFrame:

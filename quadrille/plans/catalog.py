@@ -7,7 +7,6 @@ tested in ``tests`` instead. Neighbour searches ask with the rows whose id is di
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from quadrille.operators import aggregates, graphs, knn, logs, ranges, replay, u
 from quadrille.operators.cells import CellTable, Split
 from quadrille.plans import views as V
 from quadrille.sources import generators, text
+from quadrille.sources.shared import shared_dir
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -67,8 +67,7 @@ def flatten_multiplicity(spark, sf):
 
 @query()
 def text_roundtrip(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/points-{uuid.uuid4().hex}/1.in"
+    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}/1.in"
     points = V.parts(spark, sf)
     text.write_points(points, path, 2)
     return text.read_points(spark, path, "bigint")
