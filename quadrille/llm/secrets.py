@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import no_nulls
+from quadrille.llm.common import no_nulls, settle
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,7 @@ def report(history: DataFrame, id_col: str = "doc_id", text: str = "text", ledge
     if known is not None:
         found = found.unionByName(known.select("blob", "rank", "start", "end"))
     paths = history.select(F.col(id_col).cast("long").alias("doc_id"), blob_id(F.col(text).cast("string")).alias("blob"))
-    out = paths.join(digests(found), "blob", "left")
+    # Written first, so that the join stands alone and the rows of a common blob can be split.
+    out = paths.join(settle(digests(found), "secrets-digests"), "blob", "left")
     none = F.sha2(F.lit(""), 256)
     return out.select("doc_id", *[F.coalesce(f"n_{RULES[k].kind}", F.lit(0).cast("long")).alias(f"n_{RULES[k].kind}") for k in range(BASE)], F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
