@@ -102,6 +102,11 @@ class CellTable:
         inner = nodes.join(F.broadcast(leaf), "node", "left_anti").join(F.broadcast(left), "node", "left")
         return inner.select("node", "cnt", F.coalesce("left_cnt", F.lit(0).cast("long")).alias("left_cnt")).withColumn("unbalanced", imbalanced(F.col("left_cnt"), F.col("cnt"), ratio))
 
+    def thin(self, least: int = 24) -> DataFrame:
+        """(cell, merged, cnt): a cell of fewer rows goes to its parent, to be written with what else is there."""
+        merged = F.when((F.col("cnt") < least) & (F.col("cell") > 1), F.shiftright("cell", 1)).otherwise(F.col("cell"))
+        return self.cells.select("cell", merged.alias("merged"), "cnt")
+
     def violations(self) -> DataFrame:
         """Cells whose rows lie outside their boxes or whose counts are off; no rows if all is well."""
         found = self.points.join(F.broadcast(self.cells), "cell", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions.geometry import in_circle
 from quadrille.sources.text import with_row_index
 
 
@@ -82,3 +83,16 @@ def triangle_neighbours(triangles: DataFrame) -> DataFrame:
     sides = triangles.select("tri", F.posexplode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("c").alias("v")), F.struct(F.col("c").alias("u"), F.col("a").alias("v")))).alias("side", "e"))
     sides = sides.select("tri", F.col("side").cast("long").alias("side"), F.col("e.u").alias("u"), F.col("e.v").alias("v"))
     return sides.alias("x").join(sides.alias("y"), (F.col("x.u") == F.col("y.v")) & (F.col("x.v") == F.col("y.u"))).select("x.tri", "x.side", F.col("y.tri").alias("other"))
+
+
+def delaunay_violations(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(tri, other): neighbours of which one holds the other's far corner in its circle.
+
+    points: id, c0, c1; triangles: tri, a, b, c, counter-clockwise.
+    """
+    corner = lambda name: points.select(F.col("id").alias(name), F.col("c0").alias(f"{name}0"), F.col("c1").alias(f"{name}1"))
+    placed = triangles.join(corner("a"), "a").join(corner("b"), "b").join(corner("c"), "c")
+    at = lambda name: [F.col(f"{name}0"), F.col(f"{name}1")]
+    far = triangles.select(F.col("tri").alias("other"), F.explode(F.array("a", "b", "c")).alias("d"))
+    pairs = triangle_neighbours(triangles).select("tri", "other").join(placed, "tri").join(far, "other").where(~F.col("d").isin(F.col("a"), F.col("b"), F.col("c")))
+    return pairs.join(corner("d"), "d").where(in_circle(at("a"), at("b"), at("c"), at("d"))).select("tri", "other")

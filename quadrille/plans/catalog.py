@@ -1,7 +1,7 @@
 """The registered queries over the spatial operators, with their SQL oracles.
 
-A query without an oracle is beyond SQL (seeded generators, file round trips) and is
-tested in ``tests`` instead. Neighbour searches ask with the rows whose id is divisible by
+A query without an oracle is beyond SQL (seeded generators) and is tested in ``tests``
+instead. Neighbour searches ask with the rows whose id is divisible by
 100, one percent, as the published workload does; self joins ask with all rows.
 """
 
@@ -65,7 +65,7 @@ def flatten_multiplicity(spark, sf):
     return aggregates.expanded(multiplicity(spark, sf))
 
 
-@query()
+@query("SELECT id, c0, c1 FROM pts", "pts")
 def text_roundtrip(spark, sf):
     path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}/1.in"
     points = V.parts(spark, sf)
@@ -529,6 +529,11 @@ def leaf_depth(spark, sf):
     return _fixed_cells(spark, sf).depth_stats()
 
 
+@query(_CELLS + "SELECT cell, CASE WHEN n < 400 AND cell > 1 THEN cell >> 1 ELSE cell END AS merged, n AS cnt FROM (SELECT cell, count(*) AS n FROM cells GROUP BY cell)", "pts")
+def thin_cells(spark, sf):
+    return _fixed_cells(spark, sf).thin(400)
+
+
 @query("SELECT CAST(0 AS BIGINT) AS cell, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS cnt WHERE false")
 def layout_violations(spark, sf):
     return CellTable(V.parts(spark, sf), 2).violations()

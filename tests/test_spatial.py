@@ -170,6 +170,26 @@ def test_graphs(spark):
     assert all(0 <= r.w < 1 for r in graphs.with_weights(edges).collect())
 
 
+def test_delaunay(spark):
+    square = spark.createDataFrame([(0, 0.0, 0.0), (1, 4.0, 0.0), (2, 4.0, 1.0), (3, 0.0, 1.1)], "id long, c0 double, c1 double")
+    good, bad = [(0, 0, 1, 3), (1, 1, 2, 3)], [(0, 0, 1, 2), (1, 0, 2, 3)]
+    found = [graphs.delaunay_violations(square, spark.createDataFrame(t, "tri long, a long, b long, c long")).count() for t in (good, bad)]
+    assert sorted(found) == [0, 2]
+
+
+def test_workload_runner(spark, tmp_path):
+    from quadrille.plans import workload
+    from quadrille.sources import text
+
+    text.write_points(generators.uniform(spark, 400, 2, 0, 999), f"{tmp_path}/1.in", 2)
+    text.write_points(generators.clustered(spark, 300, 2), f"{tmp_path}/2.in", 2)
+    mask = sum(1 << b for b in (0, 2, 3, 4, 5, 6, 7, 8, 9, 15, 17))
+    found = workload.run(spark, f"{tmp_path}/1.in", dim=2, tag=2, rounds=1, mask=mask, k=3, other=f"{tmp_path}/2.in", ratios=(0.1,), steps=(0.5,))
+    names = [r["metric"] for r in found]
+    assert {"build", "insert", "delete", "knn", "range_count_small", "range_report_large", "insert_0.1", "delete_0.1", "incremental_build_0.5", "incremental_delete_0.5", "knn_after_build_0.5", "knn_after_delete_0.5", "knn_far_100", "knn_foreign"} <= set(names)
+    assert all(r["seconds"] >= 0 and r["rows"] >= 0 for r in found)
+
+
 def test_logs(spark):
     lines = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, -1.0), ("b", -1.0, -1.0)], "solver string, build double, knn double")
     assert bag(logs.merged(lines, ["solver"], ["build", "knn"]).orderBy("solver")) == [("a", 2.0, 2.0), ("b", None, None)]
