@@ -202,6 +202,25 @@ def first_basis(counts: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return columns
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchange, one rank-one step a column.
+
+    Element-wise only: threaded library inverses were seen to hang in a driver that had
+    run others before.
+    """
+    m = len(a)
+    work = np.concatenate([a.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        top = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, top]] = work[[top, k]]
+        work[k] /= work[k, k]
+        off = work[:, k].copy()
+        off[k] = 0
+        rows = np.flatnonzero(off)
+        work[rows] -= off[rows, None] * work[k]
+    return work[:, m:]
+
+
 def patterns_for(counts: np.ndarray, sizes: np.ndarray, room: int, rounds: int = 600, gap: float = 0.001) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that hold all counts, in few sequences.
 
@@ -214,24 +233,24 @@ def patterns_for(counts: np.ndarray, sizes: np.ndarray, room: int, rounds: int =
     if not m:
         return []
     columns = first_basis(counts, sizes, room)
-    inverse = np.linalg.inv(columns)
-    x = np.maximum(inverse @ counts, 0)
+    inverse = inverted(columns)
+    x = np.maximum((inverse * counts).sum(axis=1), 0)
     for k in range(rounds):
         price = inverse.sum(axis=0)
         value, pattern = best_pattern(sizes, price, room, counts)
         if value <= 1 + gap:
             break
-        d = inverse @ pattern
+        d = (inverse * pattern).sum(axis=1)
         steps = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(steps.argmin())
         columns[:, out] = pattern
         if k % 50 == 49:
-            inverse = np.linalg.inv(columns)
+            inverse = inverted(columns)
         else:
             row = inverse[out] / d[out]
             inverse = inverse - np.outer(d, row)
             inverse[out] = row
-        x = np.maximum(inverse @ counts, 0)
+        x = np.maximum((inverse * counts).sum(axis=1), 0)
     left, chosen = counts.copy(), []
     for k in range(m):
         pattern = columns[:, k].astype(np.int64)
