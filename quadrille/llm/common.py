@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the folders that ``settle`` writes inside the block, so that the caller can delete them."""
+    token = _scratch.set(made := [])
+    try:
+        yield made
+    finally:
+        _scratch.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back, without its lineage.
 
@@ -22,6 +43,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -30,8 +53,7 @@ def unsettle(df: DataFrame) -> None:
     spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, files[0].rpartition("/")[0])
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
