@@ -1,0 +1,31 @@
+import re
+
+import corpus_pipeline
+from quadrille.llm import pii
+from quadrille.llm.common import table
+from tests.llm.test_decontaminate import brute as brute_windows
+from tests.llm.test_nearcopies import brute as brute_groups
+from tests.llm.test_packing import check as check_packing
+from tests.llm.test_pii import RULES
+
+
+def test_stages_after_quality_against_brute_force(spark, sf_dir):
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, table(spark, sf_dir, "documents"), sf_dir)
+    rows = sorted(good.collect())
+    first = [rows[k] for k in brute_groups([(r.doc_id, r.text) for r in rows])]
+    assert sorted(stages["simhash"](spark, good, sf_dir).collect()) == first
+
+    items = [tuple(r) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    dirty = {x[0] for x in brute_windows([(r.doc_id, r.text) for r in first], items) if x[-1]}
+    clean = [r for r in first if repr(r.doc_id) not in dirty]
+    docs = stages["decontaminate"](spark, spark.createDataFrame(first, good.schema), sf_dir)
+    assert dirty and sorted(docs.collect()) == clean
+
+    safe = sorted(stages["pii"](spark, spark.createDataFrame(clean, good.schema), sf_dir).collect())
+    assert [r.doc_id for r in safe] == [r.doc_id for r in clean]
+    assert not any(ok(m[0]) for r in safe for _, p, ok in RULES for m in re.finditer(p, r.text))
+    assert all((a.text == b.text) == (not pii.spans_of(a.text)) for a, b in zip(clean, safe))
+
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    check_packing(pieces, [(r.doc_id, r.text) for r in safe])
