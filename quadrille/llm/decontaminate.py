@@ -7,7 +7,8 @@ words they cover.
 
 The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text, measured
 before anything is collected. A larger benchmark is scanned block by block and the
-blocks' findings are merged per document, so its size changes the time only.
+blocks' findings are merged per row, by row numbers that are written once, so its size
+changes the time only.
 
 Defined results: a null or empty text has no words; a null item id or text adds no
 window; items with equal ids count once, with all their windows; equal documents give
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import bytetext
+from quadrille.llm.common import settle
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -138,15 +140,20 @@ def _merge(parts):
     return merged.mapInArrow(one, FOUND)
 
 
+def _items(benchmark: DataFrame, block_bytes: int, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, int]:
+    """(i, t) of the items that have both, and how many blocks they make."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
+    return items, max(1, math.ceil(size / block_bytes))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, row_no: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: its words, the runs of words that test windows cover, the items' ids.
 
     ``row_no`` names a long column that tells rows apart if the benchmark needs several blocks.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    items, blocks = _items(benchmark, block_bytes, item_id, item_text)
     rows = docs.select(F.col(row_no).cast("long").alias("row_no"), F.col(text).cast("string").alias("t"))
     found = []
     for b in range(blocks):
@@ -161,12 +168,16 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, row_no: str, text: str
     return _merge(out)
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    found = find_passages(docs, benchmark, id_col, **options)
+    if _items(benchmark, block_bytes, item_id, item_text)[1] == 1:
+        found = find_passages(docs, benchmark, id_col, text, item_id, item_text, window, block_bytes).withColumnRenamed("row_no", "doc_id")
+    else:
+        rows = settle(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), "decontaminate-rows")
+        found = rows.select("row_no", "doc_id").join(find_passages(rows, benchmark, "row_no", "t", item_id, item_text, window, block_bytes), "row_no")
     joined = F.concat_ws(",", F.array_sort("items"))
     return found.select(
-        F.col("row_no").alias("doc_id"),
+        "doc_id",
         "n_words",
         F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -57,6 +57,12 @@ def test_blocks_of_a_large_benchmark_are_merged(spark):
     assert got(decontaminate.contamination_report(docs, bench, block_bytes=60)) == got(decontaminate.contamination_report(docs, bench))
 
 
+def test_blocks_keep_repeated_and_null_ids_apart(spark):
+    docs = cases.frame(spark)
+    bench = spark.createDataFrame(items(spark), "item_id long, text string")
+    assert got(decontaminate.contamination_report(docs, bench, block_bytes=60)) == brute([r[:2] for r in cases.rows()], items(spark))
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame(items(spark), "item_id long, text string")
     docs = cases.frame(spark)
