@@ -37,6 +37,14 @@ _DIGITS = re.compile(r"[0-9]+")
 
 _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_LENGTHS = {
+    k[:2]: int(k[2:])
+    for k in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+        "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+        "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9])")
 _GLUE = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20{0,2}[:=#]?\x20{0,2}")
 _STREET_LEFT = re.compile(r"[0-9]{1,5}[A-Za-z]?(?:\x20[A-Z][A-Za-z'.-]*){1,4}\Z")
@@ -78,6 +86,20 @@ def iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """Where a valid IBAN from ``at`` ends: by its country's length, or else at the last end of a word that is valid."""
+    if not (m := _IBAN.match(text, at)):
+        return None
+    ends = [k + 1 for k in range(at, m.end()) if text[k] != " "]
+    length = _IBAN_LENGTHS.get(text[at : at + 2], 0)
+    if 0 < length <= len(ends) and iban(text[at : ends[length - 1]]):
+        return ends[length - 1]
+    for end in reversed(ends[14:]):
+        if (end == m.end() or not text[end].isalnum()) and iban(text[at:end]):
+            return end
+    return None
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end), sorted."""
     global _found
@@ -126,8 +148,11 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         elif kind == "account":
             if last >= account_end:
                 at = _GLUE.match(text, last + 1).end()
-                if (m := _IBAN.match(text, at)) and iban(m[0]) or (m := _NUMBER.match(text, at)):
-                    account_end = m.end()
+                end = iban_end(text, at)
+                if end is None and (m := _NUMBER.match(text, at)):
+                    end = m.end()
+                if end is not None:
+                    account_end = end
                     out.append((at, 5, account_end))
         elif last >= street_end:
             left = max(street_end, last - 80)

@@ -40,6 +40,15 @@ def test_added_kinds():
     assert [t[s:e] for s, k, e in pii.spans_of(t) if k > 3] == ["https://a.example/x", "DE89370400440532013000", "12345678", "12 High Park Street"]
 
 
+def test_accounts_end_where_the_iban_does():
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"):
+        for after in (" Please pay", " BIC COBADEFFXXX", " 12 items", " A", "", ", then", "\nNEXT", "X"):
+            text = f"IBAN: {number}{after}"
+            assert [text[s:e] for s, k, e in pii.spans_of(text) if k == 5] == [number]
+    assert pii.redacted("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == "IBAN [ACCOUNT] BIC COBADEFFXXX"
+    assert pii.redacted("IBAN DE88370400440532013000 Please pay") == "IBAN DE88370400440532013000 Please pay"
+
+
 def test_redaction_keeps_clean_texts_and_columns(spark):
     docs = cases.frame(spark)
     out = pii.redact(docs)
