@@ -196,15 +196,19 @@ def _cut(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without contaminated documents, or (mode "spans") without the covered words.
 
-    One pass: the decision is taken where the text lies, so that no text is shuffled. Needs
-    a benchmark of one block.
+    With one block, and for documents, the decision is taken where the text lies, so that no
+    text is shuffled. Spans of several blocks are all found in the original text and cut once.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    items, blocks = _items(benchmark, block_bytes)
+    if mode == "spans" and blocks > 1:
+        rows = settle(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "decontaminate-rows")
+        found = find_passages(rows, benchmark, "__row", text, window=window, block_bytes=block_bytes).where(F.size("hits") > 0)
+        found = found.select(F.col("row_no").alias("__row"), F.col("hits").alias("__hits"))
+        marked = rows.join(found, "__row", "left").drop("__row")
+        return marked.mapInArrow(_cutter(docs.columns.index(text)), docs.schema)
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b) if blocks > 1 else items
         grams = docs.sparkSession.sparkContext.broadcast(GramSet([(x.i, x.t) for x in part.toLocalIterator()], window))
@@ -212,6 +216,21 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "doc
     return docs
 
 
+def _cutter(at):
+    """Cuts the runs of words in the last column from the text, and drops that column."""
+
+    def cut(batches):
+        for batch in batches:
+            texts, last = batch.column(at).to_pylist(), batch.num_columns - 1
+            for k, hits in enumerate(batch.column(last).to_pylist()):
+                if hits:
+                    texts[k] = _cut(texts[k], [(x["first"], x["last"]) for x in hits])
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
+            yield batch.select(list(range(last)))
+
+    return cut
+
+
 def _cleaner(grams, mode, at):
     scan = _scanner(grams)
 

@@ -75,3 +75,13 @@ def test_removal(spark):
     bench = spark.createDataFrame([(0, "the same text")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.remove_contamination(docs, bench).collect()] == [2]
     assert [r.text for r in decontaminate.remove_contamination(docs, bench, "spans").orderBy("doc_id").collect()] == ["Keep this.  and that.", "clean"]
+
+
+def test_spans_of_several_blocks_are_cut_from_the_original_text(spark):
+    words = [f"w{k}" for k in range(30)]
+    bench = spark.createDataFrame([(k, " ".join(words[k : k + 10])) for k in range(5, 12)] + [(99, "left right")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words), 0), (1, " ".join(words), 0), (None, "left " + " ".join(words[5:15]) + " right", 1), (2, None, 2)], "doc_id long, text string, hits long")
+    want = sorted(map(repr, decontaminate.remove_contamination(docs, bench, "spans").collect()))
+    assert any("left" in x and "right" in x for x in want)
+    got = decontaminate.remove_contamination(docs, bench, "spans", block_bytes=60)
+    assert got.schema == docs.schema and sorted(map(repr, got.collect())) == want
