@@ -1,94 +1,151 @@
-"""A spatial layout of cells, and the joins that it prunes.
+"""A spatial layout of cells that grows with the data, and the joins that it prunes.
 
-A bounded sample of the points is split at medians, level by level, into 2**levels cells;
-the splits become one column expression, so every row finds its cell in the scan. A small
-table has each cell's count and exact bounding box: its size is bounded by 2**levels and
-doesn't grow with the data, so it is broadcast.
+The points are split at medians of a sample, level by level, until a cell has about
+``CELL_ROWS`` rows (all rows are the sample if they are few, so a small layout is exact);
+``LEVELS`` bounds the tree, which every task holds with the count and box of each node.
+Beyond that cells get larger, and are dealt to several tasks.
 
-* Counting in boxes: a cell that lies in a box adds its count unread; a cell that a box
-  cuts is joined on the cell; the rest is left out.
-* Neighbours: the boxes' farthest corners give each query a distance within which k points
-  must lie; only cells nearer than that are joined. Both are exact.
+* A region goes down the tree: a node that lies in it adds its count unread, at any level;
+  only the cells that it cuts are read.
+* A search reads its own cell first. The k-th distance there bounds it, and only the cells
+  nearer than that are read then.
+
+A region or query is sent to the cells that it needs, and each cell meets its own in one
+task, which cuts the cell into buckets and compares those that can matter. Cells of many
+rows, or that many regions need, are dealt to a grid of tasks, so no key is too hot.
+
+Rows with a null coordinate are in no region and are no neighbour. Coordinates are whole
+numbers or doubles; a squared distance beyond 64 bits is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import math
+import pickle
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import ball_meets_box, box_in_ball, box_in_box, box_meets_box, coords, dist2, imbalanced, max_dist2, min_dist2, point_in_ball, point_in_box
+from quadrille.functions.geometry import coords, imbalanced, point_in_box
+from quadrille.operators.celltree import REGIONS, Balls, Boxes, Buckets, Split, Tree, min_dist2, split_sample
 from quadrille.operators.knn import top_k
+from quadrille.sources.shared import settled
 
 SAMPLE = 20_000
-LEVELS = 6
-
+SAMPLED_CELL = 8
+CELL_ROWS = 4_096
+LEVELS = 16
+EXPRESSED = 64
+PART_ROWS, PACK_ROWS = 65_536, 65_536
 
-@dataclass
-class Split:
-    """Left is below ``at`` on dimension ``dim``, right at or above it; a leaf has neither."""
+__all__ = ["CellTable", "Split", "cell_column", "split_sample"]
 
-    dim: int = -1
-    at: float = 0
-    left: Split | None = None
-    right: Split | None = None
 
-
-def split_sample(rows: Sequence[tuple], dim: int, levels: int = LEVELS, rule: str = "widest", level: int = 0) -> Split:
-    """Splits at upper medians of the widest dimension, or of each in turn (``rotate``)."""
-    if level == levels or len(rows) < 2:
-        return Split()
-    extents = [max(r[i] for r in rows) - min(r[i] for r in rows) for i in range(dim)]
-    d = level % dim if rule == "rotate" else extents.index(max(extents))
-    values = sorted(r[d] for r in rows)
-    at = values[len(values) // 2]
-    if at == values[0]:  # all of the lower half are equal: split above them
-        at = next((v for v in values if v > at), None)
-    if at is None:
-        return Split()
-    left, right = [r for r in rows if r[d] < at], [r for r in rows if r[d] >= at]
-    return Split(d, at, split_sample(left, dim, levels, rule, level + 1), split_sample(right, dim, levels, rule, level + 1))
+def leaves(split: Split) -> int:
+    return 1 if split.left is None else leaves(split.left) + leaves(split.right)
 
 
 def cell_column(split: Split, cell: int = 1, prefix: str = "c") -> Column:
-    """The leaf's number: the path of turns after a leading one."""
+    """The leaf's number, the path of turns after a leading one, as an expression."""
     if split.left is None:
         return F.lit(cell).cast("long")
     return F.when(F.col(f"{prefix}{split.dim}") < split.at, cell_column(split.left, 2 * cell, prefix)).otherwise(cell_column(split.right, 2 * cell + 1, prefix))
 
 
+def _array(batch, names: list[str], kind: str) -> np.ndarray:
+    columns = [batch.column(n) for n in names]
+    return np.stack([(c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)).astype(kind) for c in columns], axis=1) if columns else np.zeros((len(batch), 0))
+
+
+def _names(dim: int, *prefixes: str) -> list[str]:
+    return [f"{p}{i}" for p in prefixes for i in range(dim)]
+
+
 class CellTable:
     """Points with their cells, and the cells' counts and boxes."""
 
-    def __init__(self, points: DataFrame, dim: int, levels: int = LEVELS, rule: str = "widest", split: Split | None = None, sample: int = SAMPLE):
+    def __init__(self, points: DataFrame, dim: int, levels: int | None = None, rule: str = "widest", split: Split | None = None, sample: int = SAMPLE, cells: DataFrame | None = None, cell_rows: int = CELL_ROWS):
         self.dim = dim
+        kinds = {dict(points.dtypes)[c] for c in _names(dim, "c")}
+        self.kind = "int64" if kinds <= {"tinyint", "smallint", "int", "bigint"} else "float64"
+        self.sql = "bigint" if self.kind == "int64" else "double"
+        self.points_all = points
         if split is None:
-            rows = points.select(*coords(dim)).orderBy(F.xxhash64(*coords(dim)), *coords(dim)).limit(sample).collect()
-            split = split_sample(rows, dim, levels, rule)
+            n = points.count()
+            if levels is None:
+                levels = min(LEVELS, max(0, math.ceil(math.log2(max(1, n) / cell_rows))))
+            sample = max(sample, SAMPLED_CELL << levels) if n > sample else n
+            drawn = points.select(*[F.col(c).cast(self.sql) for c in _names(dim, "c")]).dropna()
+            if n > sample:
+                drawn = drawn.orderBy(F.xxhash64(*coords(dim)), *coords(dim)).limit(sample)
+            split = split_sample(_array(drawn.toArrow(), _names(dim, "c"), self.kind), dim, levels, rule)
         self.split = split
-        self.points = points.withColumn("cell", cell_column(split))
-        self.cells = self.points.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("cnt"), *[F.min(f"c{i}").alias(f"lo{i}") for i in range(dim)], *[F.max(f"c{i}").alias(f"hi{i}") for i in range(dim)]
-        )
+        if "cell" in points.columns:
+            self.points = points
+        elif leaves(split) <= EXPRESSED:
+            self.points = points.withColumn("cell", cell_column(split))
+        else:
+            self.points = points.withColumn("cell", self._cell_udf()(*coords(dim)))
+        self.cells = cells if cells is not None else self._counted(self.points)
+        self._tree = None
+
+    def _cell_udf(self):
+        empty, kind, dim = Tree(self.split, self.dim, {}, self.kind), self.kind, self.dim
+        sent = SparkSession.active().sparkContext.broadcast(empty)
+
+        @F.arrow_udf("long")
+        def cell(*columns: pa.Array) -> pa.Array:
+            x = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).astype(kind) for c in columns], axis=1).reshape(-1, dim)
+            return pa.array(sent.value.cell_of(x))
+
+        return cell
+
+    def _counted(self, points: DataFrame) -> DataFrame:
+        """(cell, cnt, lo .., hi ..) of rows with a cell."""
+        return points.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), *[F.min(f"c{i}").alias(f"lo{i}") for i in range(self.dim)], *[F.max(f"c{i}").alias(f"hi{i}") for i in range(self.dim)])
+
+    def tree(self) -> Tree:
+        """The nodes with counts and boxes; at most 2**LEVELS cells reach the driver."""
+        if self._tree is None:
+            held = {r.cell: (r.cnt, [r[f"lo{i}"] for i in range(self.dim)], [r[f"hi{i}"] for i in range(self.dim)]) for r in self.cells.where("cnt > 0").dropna().collect()}
+            self._tree = Tree(self.split, self.dim, held, self.kind)
+        return self._tree
 
     # ---- layout
 
     def clustered(self, partitions: int | None = None) -> DataFrame:
         """Rows of a cell together and sorted, ready to be written: readers then skip by min and max."""
-        dealt = self.points.repartition(partitions, "cell") if partitions else self.points.repartition("cell")
+        dealt = self.points.repartitionByRange(partitions, "cell") if partitions else self.points.repartitionByRange("cell")
         return dealt.sortWithinPartitions("cell", *coords(self.dim))
 
-    def write(self, path: str, cells_path: str) -> None:
-        self.clustered().write.partitionBy("cell").parquet(path)
-        self.cells.write.parquet(cells_path)
+    def write(self, path: str) -> None:
+        """Points in the order of cells, the cells, and the splits."""
+        spark = self.points.sparkSession
+        self.clustered().write.parquet(f"{path}/points")
+        self.cells.coalesce(1).write.parquet(f"{path}/cells")
+        spark.createDataFrame([(bytearray(pickle.dumps(self.split)), self.dim)], "split binary, dim int").coalesce(1).write.parquet(f"{path}/splits")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> CellTable:
+        """A written layout, without a look at its points."""
+        kept = spark.read.parquet(f"{path}/splits").first()
+        return cls(spark.read.parquet(f"{path}/points"), kept.dim, split=pickle.loads(bytes(kept.split)), cells=spark.read.parquet(f"{path}/cells"))
+
+    def root(self) -> DataFrame:
+        """(cnt, lo .., hi ..): the box of the whole layout, from the cells alone."""
+        return self.cells.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("cnt"), *[F.min(c).alias(c) for c in _names(self.dim, "lo")], *[F.max(c).alias(c) for c in _names(self.dim, "hi")])
 
     def depth_stats(self) -> DataFrame:
         """Greatest and mean depth of the cells; the root's is 0."""
         depth = F.floor(F.log2(F.col("cell")))
         return self.cells.agg(F.max(depth).cast("long").alias("max_depth"), F.avg(depth).alias("mean_depth"), F.count(F.lit(1)).alias("cells"))
 
+    def leaf_histogram(self) -> DataFrame:
+        """(depth, cnt, cells): how many cells have a depth and a number of rows."""
+        return self.cells.groupBy(F.floor(F.log2(F.col("cell"))).cast("long").alias("depth"), "cnt").agg(F.count(F.lit(1)).alias("cells"))
+
     def rolled_up(self) -> DataFrame:
         """Counts of all nodes above the cells, by their paths."""
         up = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("cell"))).cast("int")), lambda h: F.call_function("shiftright", F.col("cell"), h))
@@ -108,84 +165,232 @@ class CellTable:
         return self.cells.select("cell", merged.alias("merged"), "cnt")
 
     def violations(self) -> DataFrame:
-        """Cells whose rows lie outside their boxes or whose counts are off; no rows if all is well."""
+        """Cells whose rows lie outside their boxes or whose counts are off, by the cells on record; no rows if all is well."""
         found = self.points.join(F.broadcast(self.cells), "cell", "left")
         inside = point_in_box(coords(self.dim), coords(self.dim, "lo"), coords(self.dim, "hi"))
-        seen = found.groupBy("cell").agg(F.count(F.lit(1)).alias("seen"), F.count_if(~inside).alias("outside"), F.max("cnt").alias("cnt"))
-        return seen.where((F.col("outside") > 0) | (F.col("seen") != F.col("cnt")))
+        seen = found.groupBy("cell").agg(F.count(F.lit(1)).alias("seen"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside"))
+        both = seen.join(self.cells.select("cell", "cnt"), "cell", "full").select("cell", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("cnt", F.lit(0)).alias("cnt"))
+        return both.where((F.col("outside") > 0) | (F.col("seen") != F.col("cnt")))
+
+    def rotation_violations(self) -> DataFrame:
+        """(cell, dim, expected): inner nodes that don't cut the dimension whose turn it is."""
+        rows, open_ = [], [(self.split, 1, 0)]
+        while open_:
+            s, number, level = open_.pop()
+            if s.left is not None:
+                if s.dim != level % self.dim:
+                    rows.append((number, s.dim, level % self.dim))
+                open_ += [(s.left, 2 * number, level + 1), (s.right, 2 * number + 1, level + 1)]
+        return self.points.sparkSession.createDataFrame(rows, "cell long, dim int, expected int")
+
+    # ---- what meets in a cell
+
+    def _placed(self, columns: list[str]) -> DataFrame:
+        return self.points.select("cell", *columns, *[F.col(c).cast(self.sql).alias(c) for c in _names(self.dim, "c")]).dropna(subset=_names(self.dim, "c"))
+
+    def _met(self, routed: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+        """``run(routed rows, points)`` for each cell of ``routed`` (cell ..), as tables.
+
+        The cells' sizes and how often each is asked for are known (2**LEVELS numbers at
+        most): beyond ``PART_ROWS`` or ``PACK_ROWS`` a cell is dealt to a grid of tasks.
+        Only cells that are asked for are read.
+        """
+        spark, sizes = routed.sparkSession, {int(n): int(c) for n, c, low in zip(self.tree().number, self.tree().count, self.tree().left) if low < 0 and c}
+        asked = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        points = self._placed(columns)
+        if len(asked) < len(sizes):
+            if len(asked) <= EXPRESSED:
+                points = points.where(F.col("cell").isin(sorted(asked)))
+            else:
+                points = points.join(F.broadcast(spark.createDataFrame([(c,) for c in asked], "cell long")), "cell", "left_semi")
+        hot = [(c, -(-sizes.get(c, 0) // PART_ROWS) or 1, -(-n // PACK_ROWS)) for c, n in asked.items() if n > PACK_ROWS or sizes.get(c, 0) > PART_ROWS]
+        keys = ["cell"]
+        if hot:
+            keys = ["cell", "part", "pack"]
+            grid = F.broadcast(spark.createDataFrame(hot, "cell long, parts int, packs int"))
+            each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+            deal = lambda frame, n: F.pmod(F.xxhash64(*[c for c in frame.columns if c != "cell"]), F.coalesce(n, F.lit(1))).cast("int")
+            points = points.join(grid, "cell", "left").withColumn("part", deal(points, F.col("parts"))).withColumn("pack", each(F.col("packs"))).drop("parts", "packs")
+            routed = routed.join(grid, "cell", "left").withColumn("pack", deal(routed, F.col("packs"))).withColumn("part", each(F.col("parts"))).drop("parts", "packs")
+        return routed.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInArrow(run, schema)
 
     # ---- ranges
 
-    def _ranged(self, regions: DataFrame, inside: Column, meets: Column, holds: Column) -> tuple[DataFrame, DataFrame]:
-        """(qid, cnt) of cells that lie inside, and (qid, point) of points in cells that are cut."""
-        touched = regions.join(F.broadcast(self.cells), meets)
-        whole = touched.where(inside).select("qid", "cnt")
-        cut = touched.where(~inside).select(*regions.columns, "cell")
-        return whole, cut.join(self.points, "cell").where(holds)
-
-    def _count(self, regions: DataFrame, inside: Column, meets: Column, holds: Column) -> DataFrame:
-        whole, found = self._ranged(regions, inside, meets, holds)
-        none = regions.select("qid", F.lit(0).cast("long").alias("cnt"))
-        some = found.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
+    def _regions(self, frame: DataFrame, ball: bool) -> tuple[DataFrame, list[str]]:
+        names = [*_names(self.dim, "q"), "r"] if ball else _names(self.dim, "lo", "hi")
+        kind = "double" if self.sql == "double" or {dict(frame.dtypes)[n] for n in names} & {"double", "float"} else "bigint"
+        return frame.select("qid", *[F.col(n).cast(kind).alias(n) for n in names]).dropna(subset=names), names
+
+    def _routed(self, regions: DataFrame, names: list[str], ball: bool) -> DataFrame:
+        """A row for each region with the count of nodes inside it (cell null), and one for each cell that it cuts."""
+        sent, made = regions.sparkSession.sparkContext.broadcast(self.tree()), _maker(self.dim, names, ball)
+        kinds = dict(regions.dtypes)
+        schema = ", ".join([f"qid {kinds['qid']}", *[f"{n} {kinds[n]}" for n in names], "cell long", "whole long", "nodes long"])
+
+        def run(batches):
+            tree: Tree = sent.value
+            for batch in batches:
+                for at in range(0, len(batch), REGIONS):
+                    part = batch.slice(at, REGIONS)
+                    shapes = made(part)
+                    in_r, in_n, cut_r, cut_n = tree.touched(len(part), lambda r, n: shapes.meets(r, tree.lo[n], tree.hi[n]), lambda r, n: shapes.inside(r, tree.lo[n], tree.hi[n]))
+                    whole, nodes = np.zeros(len(part), np.int64), np.bincount(in_r, minlength=len(part))
+                    np.add.at(whole, in_r, tree.count[in_n])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(len(part), pa.int64()), pa.array(whole), pa.array(nodes)], names=[*part.schema.names, "cell", "whole", "nodes"])
+                    if len(cut_r):
+                        cut = part.take(pa.array(cut_r))
+                        yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(tree.number[cut_n]), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64())], names=[*part.schema.names, "cell", "whole", "nodes"])
+
+        return regions.mapInArrow(run, schema)
+
+    def _count(self, frame: DataFrame, ball: bool) -> DataFrame:
+        regions, names = self._regions(frame, ball)
+        routed, made, kind = self._routed(regions, names, ball), _maker(self.dim, names, ball), dict(regions.dtypes)["qid"]
+        own, dim, numbers = _names(self.dim, "c"), self.dim, self.kind
+
+        def run(asked: pa.Table, points: pa.Table) -> pa.Table:
+            found = Buckets(_array(points, own, numbers).reshape(-1, dim)).counts(made(asked)) if len(points) else np.zeros(len(asked), np.int64)
+            return pa.table({"qid": asked["qid"], "cnt": pa.array(found)})
+
+        some = self._met(routed.where("cell IS NOT NULL").select("cell", "qid", *names), [], run, f"qid {kind}, cnt long")
+        none = frame.select("qid", F.lit(0).cast("long").alias("cnt"))
+        whole = routed.where("cell IS NULL").select("qid", F.col("whole").alias("cnt"))
         return none.unionAll(whole).unionAll(some).groupBy("qid").agg(F.sum("cnt").alias("cnt"))
 
-    def _box_tests(self) -> tuple[Column, Column, Column]:
-        d = self.dim
-        cell, box = (coords(d, "lo"), coords(d, "hi")), (coords(d, "blo"), coords(d, "bhi"))
-        return box_in_box(*cell, *box), box_meets_box(*cell, *box), point_in_box(coords(d), *box)
-
-    def _boxes(self, boxes: DataFrame) -> DataFrame:
-        return boxes.select("qid", *[F.col(f"{s}{i}").alias(f"b{s}{i}") for s in ("lo", "hi") for i in range(self.dim)])
-
-    def _ball_tests(self) -> tuple[Column, Column, Column]:
-        d = self.dim
-        cell, ball = (coords(d, "lo"), coords(d, "hi")), (coords(d, "q"), F.col("r"))
-        return box_in_ball(*cell, *ball), ball_meets_box(*cell, *ball), point_in_ball(coords(d), *ball)
+    def _report(self, frame: DataFrame, ball: bool, open_: bool = False) -> DataFrame:
+        regions, names = self._regions(frame, ball)
+        made, kinds = _maker(self.dim, names, ball), dict(self.points.dtypes)
+        sent = regions.sparkSession.sparkContext.broadcast(self.tree())
+        schema = dict(regions.dtypes)
+        own, dim, numbers = _names(self.dim, "c"), self.dim, self.kind
+
+        def route(batches):
+            tree: Tree = sent.value
+            for batch in batches:
+                for at in range(0, len(batch), REGIONS):
+                    part = batch.slice(at, REGIONS)
+                    shapes = made(part)
+                    _, _, r, n = tree.touched(len(part), lambda r, n: shapes.meets(r, tree.lo[n], tree.hi[n]), None)
+                    yield pa.RecordBatch.from_arrays([pa.array(tree.number[n]), *part.take(pa.array(r)).columns], names=["cell", *part.schema.names])
+
+        def run(asked: pa.Table, points: pa.Table) -> pa.Table:
+            x = _array(points, own, numbers).reshape(-1, dim)
+            pairs = list(Buckets(x).reports(made(asked))) if len(points) else []
+            r, p = (np.concatenate([q[k] for q in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+            if open_ and len(r):
+                lo, hi = (_array(asked, names[k * dim : (k + 1) * dim], numbers) for k in (0, 1))
+                strictly = ((x[p] > lo[r]) & (x[p] < hi[r])).all(axis=1)
+                r, p = r[strictly], p[strictly]
+            return pa.table({"qid": asked["qid"].take(pa.array(r)), **{c: points[c].take(pa.array(p)) for c in ("id", *own)}})
+
+        routed = regions.mapInArrow(route, ", ".join(["cell long", *[f"{n} {t}" for n, t in schema.items()]]))
+        found = self._met(routed, ["id"], run, ", ".join([f"qid {schema['qid']}", f"id {kinds['id']}", *[f"{c} {self.sql}" for c in own]]))
+        return found.select("qid", "id", *[F.col(c).cast(kinds[c]).alias(c) for c in own])
 
     def count_in_boxes(self, boxes: DataFrame) -> DataFrame:
-        return self._count(self._boxes(boxes), *self._box_tests())
+        """(qid, cnt), zero counts included; closed boxes."""
+        return self._count(boxes, False)
 
     def count_in_balls(self, balls: DataFrame) -> DataFrame:
-        return self._count(balls.select("qid", *coords(self.dim, "q"), "r"), *self._ball_tests())
+        return self._count(balls, True)
 
-    def report_boxes(self, boxes: DataFrame) -> DataFrame:
-        """(qid, id, c0 ..); a cell inside a box is reported without a test."""
-        inside, meets, holds = self._box_tests()
-        touched = self._boxes(boxes).join(F.broadcast(self.cells.drop("cnt")), meets).withColumn("whole", inside)
-        found = touched.drop(*[f"{s}{i}" for s in ("lo", "hi") for i in range(self.dim)]).join(self.points, "cell")
-        return found.where(F.col("whole") | holds).select("qid", "id", *coords(self.dim))
+    def report_boxes(self, boxes: DataFrame, open_: bool = False) -> DataFrame:
+        """(qid, id, c0 ..): every point of every box; with ``open_`` without its sides."""
+        return self._report(boxes, False, open_)
 
-    # ---- neighbours
+    def report_balls(self, balls: DataFrame) -> DataFrame:
+        return self._report(balls, True)
 
-    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
-        """queries with a row for each cell that can hold one of the k nearest points.
+    def visited_boxes(self, boxes: DataFrame) -> DataFrame:
+        """(qid, nodes, cells): nodes that a box takes whole, and cells that it reads."""
+        routed = self._routed(*self._regions(boxes, False), False)
+        return routed.groupBy("qid").agg(F.sum("nodes").alias("nodes"), F.count("cell").alias("cells"))
 
-        The cells are one array in one broadcast row, so a query finds its bound alone: the
-        least farthest-corner distance within which the cells hold k points. With fewer
-        than k points in all, every cell stays.
-        """
-        d = self.dim
-        q = coords(d, "q")
-        all_cells = self.cells.agg(F.collect_list(F.struct("cell", "cnt", *[f"lo{i}" for i in range(d)], *[f"hi{i}" for i in range(d)])).alias("cells"))
-        far = F.transform("cells", lambda c: F.struct(max_dist2(q, [c[f"lo{i}"] for i in range(d)], [c[f"hi{i}"] for i in range(d)]).alias("far"), c["cnt"].alias("cnt")))
-        upto = F.aggregate(
-            F.array_sort(far),
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(queries.dtypes)["q0"]).alias("bound")),
-            lambda s, c: F.struct((s["n"] + c["cnt"]).alias("n"), F.when(s["n"] >= k, s["bound"]).otherwise(c["far"]).alias("bound")),
-            lambda s: F.when(s["n"] >= k, s["bound"]),
-        )
-        bounded = queries.join(F.broadcast(all_cells)).withColumn("bound", upto)
-        near = F.filter("cells", lambda c: F.col("bound").isNull() | (min_dist2(q, [c[f"lo{i}"] for i in range(d)], [c[f"hi{i}"] for i in range(d)]) <= F.col("bound")))
-        return bounded.withColumn("cell", F.explode(F.transform(near, lambda c: c["cell"]))).drop("cells")
+    # ---- neighbours
+
+    def _near(self, queries: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame, str]:
+        """Neighbours in each query's own cell, and in the other cells that are near enough."""
+        kinds, dim, numbers = dict(queries.dtypes), self.dim, self.kind
+        kind = "float64" if numbers == "float64" or {kinds[c] for c in _names(dim, "q")} & {"double", "float"} else "int64"
+        sql, asks, own = "bigint" if kind == "int64" else "double", _names(dim, "q"), _names(dim, "c")
+        asking = queries.select("qid", *[F.col(c).cast(sql).alias(c) for c in asks]).dropna()
+        sent, ids = asking.sparkSession.sparkContext.broadcast(self.tree()), dict(self.points.dtypes)["id"]
+        arrow = pa.int64() if kind == "int64" else pa.float64()
+
+        def home(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.cell_of(_array(batch, asks, kind))), *batch.columns], names=["cell", *batch.schema.names])
+
+        def search(asked: pa.Table, points: pa.Table):
+            q, qid = _array(asked, asks, kind), asked["qid"].to_numpy()
+            x = _array(points, own, kind).reshape(-1, dim)
+            bound = None
+            if "bound" in asked.schema.names:
+                bound = asked["bound"].to_numpy()
+                none = np.array(asked["bound"].is_null().to_pylist(), dtype=bool)
+                bound = np.where(none, np.iinfo(np.int64).max if kind == "int64" else np.inf, np.nan_to_num(bound.astype(float))) if none.any() and kind == "float64" else bound
+                if none.any() and kind == "int64":
+                    bound = np.array([np.iinfo(np.int64).max if v is None else v for v in asked["bound"].to_pylist()], dtype=np.int64)
+            found = list(Buckets(x).nearest(points["id"].to_numpy(), q, qid if exclude_self else None, k, bound)) if len(points) and len(q) else []
+            return [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3)]
+
+        def first(asked: pa.Table, points: pa.Table) -> pa.Table:
+            row, place, value = search(asked, points)
+            order = np.argsort(row, kind="stable")
+            row, place, value = row[order], place[order], value[order]
+            upto = np.searchsorted(row, np.arange(len(asked) + 1)).astype(np.int32)
+            last = [value[b - 1].item() if b - a == k else None for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+            near = pa.ListArray.from_arrays(pa.array(upto), points["id"].combine_chunks().take(pa.array(place)) if len(points) else pa.array([], points.schema.field("id").type))
+            return pa.table({"qid": asked["qid"], **{c: asked[c] for c in asks}, "cell": asked["cell"], "bound": pa.array(last, arrow), "nid": near, "dist2": pa.ListArray.from_arrays(pa.array(upto), pa.array(value.astype(kind)))})
+
+        def others(batches):
+            tree: Tree = sent.value
+            for batch in batches:
+                for at in range(0, len(batch), REGIONS):
+                    part = batch.slice(at, REGIONS)
+                    q, bound = _array(part, asks, kind), part.column("bound")
+                    most = np.array([math.inf if v is None else v for v in bound.to_pylist()], dtype=object if kind == "int64" else float)
+                    free = np.array([v is None for v in bound.to_pylist()], dtype=bool)
+                    held = np.where(free, 0, most).astype(kind)
+                    _, _, r, n = tree.touched(len(part), lambda r, n: free[r] | (min_dist2(q[r], tree.lo[n].astype(kind), tree.hi[n].astype(kind)) <= held[r]), None)
+                    away = tree.number[n] != part.column("cell").to_numpy()[r]
+                    r, n = r[away], n[away]
+                    yield pa.RecordBatch.from_arrays([pa.array(tree.number[n]), *part.take(pa.array(r)).select(["qid", *asks, "bound"]).columns], names=["cell", "qid", *asks, "bound"])
+
+        def second(asked: pa.Table, points: pa.Table) -> pa.Table:
+            row, place, value = search(asked, points)
+            near = points["id"].combine_chunks().take(pa.array(place)) if len(points) else pa.array([], points.schema.field("id").type)
+            return pa.table({"qid": asked["qid"].take(pa.array(row)), "nid": near, "dist2": pa.array(value.astype(kind))})
+
+        shape = ", ".join([f"qid {kinds['qid']}", *[f"{c} {sql}" for c in asks]])
+        at_home = self._met(asking.mapInArrow(home, f"cell long, {shape}"), ["id"], first, f"{shape}, cell long, bound {sql}, nid array<{ids}>, dist2 array<{sql}>")
+        if max(self.tree().count, default=0) > 0 and max((c for c, low in zip(self.tree().count, self.tree().left) if low < 0), default=0) > PART_ROWS:
+            # a cell that was dealt answers in parts: the least of their bounds holds
+            at_home = at_home.groupBy("qid", *asks, "cell").agg(F.min("bound").alias("bound"), F.flatten(F.collect_list("nid")).alias("nid"), F.flatten(F.collect_list("dist2")).alias("dist2"))
+        at_home = settled(at_home, "cells-home")
+        routed = at_home.select("qid", *asks, "cell", "bound").mapInArrow(others, f"cell long, {shape}, bound {sql}")
+        return at_home, routed, (second, f"qid {kinds['qid']}, nid {ids}, dist2 {sql}")
 
     def knn(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
         """(qid, nid, dist2, rk), equal to the full comparison."""
-        asked = self.candidates(queries, k + exclude_self)
-        pairs = asked.join(self.points, "cell")
-        if exclude_self:
-            pairs = pairs.where(F.col("id") != F.col("qid"))
-        return top_k(pairs.select("qid", F.col("id").alias("nid"), dist2(coords(self.dim), coords(self.dim, "q")).alias("dist2")), k)
+        home, routed, (run, schema) = self._near(queries, k, exclude_self)
+        mine = home.select("qid", F.explode(F.arrays_zip("nid", "dist2")).alias("n")).select("qid", "n.nid", "n.dist2")
+        return top_k(mine.unionAll(self._met(routed, ["id"], run, schema)), k)
 
     def visited(self, queries: DataFrame, k: int) -> DataFrame:
-        """Mean number of cells that a query reads."""
-        return self.candidates(queries, k).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean_cells"))
+        """Mean number of cells that a query reads, its own with them."""
+        home, routed, _ = self._near(queries, k, False)
+        cells = home.select("qid").unionAll(routed.select("qid"))
+        return cells.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean_cells"))
+
+
+def _maker(dim: int, names: list[str], ball: bool):
+    """Regions of a table's rows."""
+
+    def made(rows):
+        kind = "float64" if any(pa.types.is_floating(rows.schema.field(n).type) for n in names) else "int64"
+        if ball:
+            return Balls(_array(rows, names[:dim], kind), _array(rows, names[dim:], kind)[:, 0])
+        return Boxes(_array(rows, names[:dim], kind), _array(rows, names[dim:], kind))
+
+    return made

@@ -1,10 +1,15 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and frames that are written there."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,6 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='quadrille-')}"
+    folder = tempfile.mkdtemp(prefix="quadrille-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back, without its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Delete all that ``settled`` wrote in this process; frames that read it are then void."""
+    while _written:
+        delete(spark, _written.pop())
