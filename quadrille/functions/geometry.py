@@ -48,6 +48,19 @@ def box_meets_box(lo: Point, hi: Point, other_lo: Point, other_hi: Point) -> Col
     return all_of([(a <= ob) & (oa <= b) for a, b, oa, ob in zip(lo, hi, other_lo, other_hi)])
 
 
+def point_in_widened_box(p: Point, lo: Point, hi: Point, epsilon: float) -> Column:
+    """Strictly inside the box made wider by ``epsilon`` on all sides; narrower if it is negative."""
+    return all_of([(c > a - F.lit(epsilon)) & (c < b + F.lit(epsilon)) for c, a, b in zip(p, lo, hi)])
+
+
+def same_point(p: Point, q: Point) -> Column:
+    return all_of([a == b for a, b in zip(p, q)])
+
+
+def same_box(lo: Point, hi: Point, other_lo: Point, other_hi: Point) -> Column:
+    return same_point(lo, other_lo) & same_point(hi, other_hi)
+
+
 def legal_box(lo: Point, hi: Point) -> Column:
     """Low corner below the high one in every dimension, or empty (all null)."""
     return all_of([a <= b for a, b in zip(lo, hi)]) | all_of([x.isNull() for x in [*lo, *hi]])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.shared import settled
+
 from quadrille.functions.geometry import widest_dimension
 
 
@@ -49,10 +51,10 @@ def upper_median(points: DataFrame, column: str) -> DataFrame:
     range partitions of its own; only partition totals meet.
     """
     counts = points.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id())
+    ranged = settled(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "aggregates-ranges")
     parts = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("v"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = ranged.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    half = counts.agg(F.floor(F.sum("n") / 2).alias("half"))
+    half = ranged.agg(F.floor(F.sum("n") / 2).alias("half"))
     return upto.join(F.broadcast(half)).where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select(F.col("v").alias("median"))

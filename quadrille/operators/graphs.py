@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.shared import settled
+
 from quadrille.functions.geometry import in_circle
 from quadrille.sources.text import with_row_index
 
@@ -34,7 +36,7 @@ def csr_offsets(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     The sum runs inside range partitions of vertices; only partition totals meet.
     """
     degree = vertices.select(F.col("src")).join(degrees(edges), "src", "left").select("src", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
-    ranged = degree.repartitionByRange("src").sortWithinPartitions("src").withColumn("part", F.spark_partition_id())
+    ranged = settled(degree.repartitionByRange("src").sortWithinPartitions("src").withColumn("part", F.spark_partition_id()), "graphs-ranges")
     totals = ranged.groupBy("part").agg(F.sum("degree").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     inside = Window.partitionBy("part").orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,7 +1,8 @@
 """Box and ball range joins over closed regions, as plain theta joins.
 
-boxes: qid, lo0 .., hi0 ..; balls: qid, q0 .., r; points: id, c0 ... The pruned forms are
-in ``quadrille.operators.cells``.
+boxes: qid, lo0 .., hi0 ..; balls: qid, q0 .., r; points: id, c0 ... These are the measure
+of the pruned forms in ``quadrille.operators.cells``: every pair is compared, so regions
+beyond ``MOST_REGIONS`` are refused.
 """
 
 from __future__ import annotations
@@ -20,8 +21,17 @@ def _inside_ball(dim: int) -> Column:
     return point_in_ball(coords(dim), coords(dim, "q"), F.col("r"))
 
 
+MOST_REGIONS = 200_000
+
+
+def _few(regions: DataFrame) -> DataFrame:
+    if regions.count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions: use the layout's joins")
+    return regions
+
+
 def _counted(regions: DataFrame, points: DataFrame, inside: Column) -> DataFrame:
-    return regions.join(points, inside, "left").groupBy("qid").agg(F.count("c0").alias("cnt"))
+    return _few(regions).join(points, inside, "left").groupBy("qid").agg(F.count("c0").alias("cnt"))
 
 
 def count_in_boxes(boxes: DataFrame, points: DataFrame, dim: int) -> DataFrame:
@@ -35,11 +45,11 @@ def count_in_balls(balls: DataFrame, points: DataFrame, dim: int) -> DataFrame:
 
 def report_boxes(boxes: DataFrame, points: DataFrame, dim: int) -> DataFrame:
     """(qid, id, c0 ..): every point of every box, copies kept."""
-    return boxes.join(points, _inside_box(dim)).select("qid", "id", *coords(dim))
+    return _few(boxes).join(points, _inside_box(dim)).select("qid", "id", *coords(dim))
 
 
 def report_balls(balls: DataFrame, points: DataFrame, dim: int) -> DataFrame:
-    return balls.join(points, _inside_ball(dim)).select("qid", "id", *coords(dim))
+    return _few(balls).join(points, _inside_ball(dim)).select("qid", "id", *coords(dim))
 
 
 def disagreements(counts: DataFrame, expected: DataFrame) -> DataFrame:

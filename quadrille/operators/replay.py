@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import coords, dist2
-from quadrille.operators.knn import brute_knn, in_blocks, top_k
+from quadrille.operators.cells import CellTable
+from quadrille.operators.knn import in_blocks, top_k
 
 WINDOW = 5
 
@@ -56,4 +57,18 @@ def window_knn(periods: DataFrame, queries: DataFrame, k: int, dim: int, length:
 
 def prefix_knn(points: DataFrame, queries: DataFrame, upto: int, k: int, dim: int) -> DataFrame:
     """Neighbours among the first rows by id, ids from 0."""
-    return brute_knn(queries, points.where(F.col("id") < upto), k, dim)
+    return CellTable(points.where(F.col("id") < upto), dim).knn(queries, k)
+
+
+def balance(table, more: DataFrame, ratios: tuple[int, ...]) -> DataFrame:
+    """(ratio, nodes, unbalanced): for each ratio, how many inner nodes an insert leaves unbalanced.
+
+    ``table`` is a SpatialTable whose splits stay; a study of how far skewed batches go
+    before a rebuild is due.
+    """
+    layout = table.insert(more).layout
+    out = None
+    for ratio in ratios:
+        row = layout.imbalance(ratio).agg(F.lit(ratio).cast("long").alias("ratio"), F.count(F.lit(1)).alias("nodes"), F.count_if("unbalanced").alias("unbalanced"))
+        out = row if out is None else out.unionAll(row)
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as G
-from quadrille.operators import aggregates, graphs, knn, logs, ranges, replay, updates, workloads, zorder
+from quadrille.operators import aggregates, graphs, knn, logs, replay, updates, workloads, zorder
 from quadrille.operators.cells import CellTable, Split
 from quadrille.plans import views as V
 from quadrille.sources import generators, text
@@ -126,20 +126,21 @@ def median_upper(spark, sf):
 
 # ---------------------------------------------------------------- predicates and distances
 
-_BOX = ([10, 100_000], [30, 140_000])
-_BALL = ([25, 120_000], 15_000)
+_BOX = ([10, 90_000], [30, 99_000])
+_BALL = ([25, 95_000], 4_500)
+_LOW_BALL = ([25, 88_000], 4_500)
 
 
 def _literals(values):
     return [F.lit(v).cast("long") for v in values]
 
 
-@query("SELECT id, c0, c1 FROM pts WHERE c0 BETWEEN 10 AND 30 AND c1 BETWEEN 100000 AND 140000", "pts")
+@query("SELECT id, c0, c1 FROM pts WHERE c0 BETWEEN 10 AND 30 AND c1 BETWEEN 90000 AND 99000", "pts")
 def point_in_box(spark, sf):
     return V.parts(spark, sf).where(G.point_in_box(G.coords(2), *map(_literals, _BOX)))
 
 
-@query("SELECT id, c0, c1 FROM pts WHERE (c0 - 25) * (c0 - 25) + (c1 - 120000) * (c1 - 120000) <= 15000::BIGINT * 15000", "pts")
+@query("SELECT id, c0, c1 FROM pts WHERE (c0 - 25) * (c0 - 25) + (c1 - 95000) * (c1 - 95000) <= 4500::BIGINT * 4500", "pts")
 def point_in_ball(spark, sf):
     return V.parts(spark, sf).where(G.point_in_ball(G.coords(2), _literals(_BALL[0]), *_literals(_BALL[1:])))
 
@@ -157,41 +158,60 @@ def _box_tests(spark, sf):
     return _own_boxes(spark, sf), lo, hi
 
 
-@query(_OWN + "SELECT id FROM own WHERE lo0 >= 10 AND hi0 <= 30 AND lo1 >= 100000 AND hi1 <= 140000", "pts")
+@query(_OWN + "SELECT id FROM own WHERE lo0 >= 10 AND hi0 <= 30 AND lo1 >= 90000 AND hi1 <= 99000", "pts")
 def box_in_box(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
     return b.where(G.box_in_box(lo, hi, *map(_literals, _BOX))).select("id")
 
 
-@query(_OWN + "SELECT id FROM own WHERE lo0 <= 30 AND hi0 >= 10 AND lo1 <= 140000 AND hi1 >= 100000", "pts")
+@query(_OWN + "SELECT id FROM own WHERE lo0 <= 30 AND hi0 >= 10 AND lo1 <= 99000 AND hi1 >= 90000", "pts")
 def box_intersects_box(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
     return b.where(G.box_meets_box(lo, hi, *map(_literals, _BOX))).select("id")
 
 
-@query(_OWN + "SELECT id FROM own WHERE lo0 <= hi0 AND lo1 <= hi1", "pts")
+#: Every third box has its low corner above the high one.
+@query("SELECT id FROM (SELECT id, c0 - 3 AS lo0, c0 + 3 - (id % 3) * 4 AS hi0 FROM pts) WHERE lo0 <= hi0", "pts")
 def legal_box(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
+    b = b.withColumn("hi0", F.col("hi0") - F.col("id") % 3 * 4)
     return b.where(G.legal_box(lo, hi)).select("id")
 
 
-_FAR = "greatest(abs(25 - lo0), abs(hi0 - 25)) ** 2 + greatest(abs(120000 - lo1), abs(hi1 - 120000)) ** 2"
-_NEAR = "greatest(lo0 - 25, 25 - hi0, 0) ** 2 + greatest(lo1 - 120000, 120000 - hi1, 0) ** 2"
+@query("SELECT id FROM pts WHERE c0 > 9.5 AND c0 < 30.5 AND c1 > 89999.5 AND c1 < 99000.5", "pts")
+def point_in_widened_box(spark, sf):
+    return V.parts(spark, sf).where(G.point_in_widened_box(G.coords(2), *map(_literals, _BOX), 0.5)).select("id")
 
 
-@query(_OWN + f"SELECT id FROM own WHERE {_FAR} <= 15000.0 ** 2", "pts")
+@query("SELECT id FROM pts WHERE c0 - c0 % 5 = c0 AND c1 - c1 % 10 = c1", "pts")
+def same_point(spark, sf):
+    rounded = [F.col("c0") - F.col("c0") % 5, F.col("c1") - F.col("c1") % 10]
+    return V.parts(spark, sf).where(G.same_point(G.coords(2), rounded)).select("id")
+
+
+@query(_OWN + "SELECT id FROM own WHERE hi0 = lo0 + id % 4 * 2", "pts")
+def same_box(spark, sf):
+    b, lo, hi = _box_tests(spark, sf)
+    return b.where(G.same_box(lo, hi, lo, [lo[0] + F.col("id") % 4 * 2, hi[1]])).select("id")
+
+
+_FAR = "greatest(abs(25 - lo0), abs(hi0 - 25)) ** 2 + greatest(abs(95000 - lo1), abs(hi1 - 95000)) ** 2"
+_NEAR = "greatest(lo0 - 25, 25 - hi0, 0) ** 2 + greatest(lo1 - 88000, 88000 - hi1, 0) ** 2"
+
+
+@query(_OWN + f"SELECT id FROM own WHERE {_FAR} <= 4500.0 ** 2", "pts")
 def box_in_ball(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
     return b.where(G.box_in_ball(lo, hi, _literals(_BALL[0]), *_literals(_BALL[1:]))).select("id")
 
 
-@query(_OWN + f"SELECT id FROM own WHERE {_NEAR} <= 15000.0 ** 2", "pts")
+@query(_OWN + f"SELECT id FROM own WHERE {_NEAR} <= 4500.0 ** 2", "pts")
 def ball_intersects_box(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
-    return b.where(G.ball_meets_box(lo, hi, _literals(_BALL[0]), *_literals(_BALL[1:]))).select("id")
+    return b.where(G.ball_meets_box(lo, hi, _literals(_LOW_BALL[0]), *_literals(_LOW_BALL[1:]))).select("id")
 
 
-@query("SELECT id, (c0 - 25) * (c0 - 25) + (c1 - 120000) * (c1 - 120000) AS dist2 FROM pts", "pts")
+@query("SELECT id, (c0 - 25) * (c0 - 25) + (c1 - 95000) * (c1 - 95000) AS dist2 FROM pts", "pts")
 def dist2(spark, sf):
     return V.parts(spark, sf).select("id", G.dist2(G.coords(2), _literals(_BALL[0])).alias("dist2"))
 
@@ -199,7 +219,7 @@ def dist2(spark, sf):
 @query(_OWN + f"SELECT id, CAST({_NEAR} AS BIGINT) AS d FROM own", "pts")
 def min_dist_box(spark, sf):
     b, lo, hi = _box_tests(spark, sf)
-    return b.select("id", G.min_dist2(_literals(_BALL[0]), lo, hi).alias("d"))
+    return b.select("id", G.min_dist2(_literals(_LOW_BALL[0]), lo, hi).alias("d"))
 
 
 @query(_OWN + f"SELECT id, CAST({_FAR} AS BIGINT) AS d FROM own", "pts")
@@ -310,7 +330,7 @@ _LINE_BOXES = "+own AS (SELECT p_partkey AS qid, CAST(p_size AS BIGINT) - 1 AS l
 
 @query(_COUNT_BOXES, "pts")
 def range_count_box(spark, sf):
-    return ranges.count_in_boxes(_query_boxes(spark, sf), V.parts(spark, sf), 2)
+    return CellTable(V.parts(spark, sf), 2, rule="rotate").count_in_boxes(_query_boxes(spark, sf))
 
 
 @query(_COUNT_BOXES, "pts")
@@ -320,7 +340,7 @@ def cell_range_count(spark, sf):
 
 @query(_COUNT_BALLS, "pts")
 def range_count_ball(spark, sf):
-    return ranges.count_in_balls(_query_balls(spark, sf), V.parts(spark, sf), 2)
+    return CellTable(V.parts(spark, sf), 2, rule="rotate").count_in_balls(_query_balls(spark, sf))
 
 
 @query(_COUNT_BALLS, "pts")
@@ -330,7 +350,7 @@ def cell_ball_count(spark, sf):
 
 @query(_REPORT_BOXES, "pts")
 def range_report_box(spark, sf):
-    return ranges.report_boxes(_query_boxes(spark, sf), V.parts(spark, sf), 2)
+    return CellTable(V.parts(spark, sf), 2, rule="rotate").report_boxes(_query_boxes(spark, sf))
 
 
 @query(_REPORT_BOXES, "pts")
@@ -340,7 +360,15 @@ def cell_range_report(spark, sf):
 
 @query(f"SELECT q.id AS qid, p.id, p.c0, p.c1 FROM pts q JOIN pts p ON {_IN_BALL}", "pts")
 def range_report_ball(spark, sf):
-    return ranges.report_balls(_query_balls(spark, sf), V.parts(spark, sf), 2)
+    return CellTable(V.parts(spark, sf), 2).report_balls(_query_balls(spark, sf))
+
+
+_OPEN_OWN = "p.c0 > b.lo0 AND p.c0 < b.hi0 AND p.c1 > b.lo1 AND p.c1 < b.hi1"
+
+
+@query(_OWN + f"SELECT b.id AS qid, p.id, p.c0, p.c1 FROM own b JOIN pts p ON {_OPEN_OWN} WHERE b.id % 10 = 0", "pts")
+def range_report_open_box(spark, sf):
+    return CellTable(V.parts(spark, sf), 2).report_boxes(_query_boxes(spark, sf).where("qid % 10 = 0"), open_=True)
 
 
 @query(_MATES + "SELECT m.qid, count(p.id) AS cnt FROM mates m LEFT JOIN pts p ON p.c0 BETWEEN least(a0, b0) AND greatest(a0, b0) AND p.c1 BETWEEN least(a1, b1) AND greatest(a1, b1) GROUP BY m.qid", "pts")
@@ -365,15 +393,24 @@ def cell_range_count_3d(spark, sf):
 def _bracketed(kind):
     def run(spark, sf):
         points = V.parts(spark, sf)
+        low, high = workloads.bracket(kind, points.count())
         boxes = workloads.rectangles(points, 2, kind, 100)
-        return CellTable(points, 2).count_in_boxes(boxes).join(boxes.select("qid", "expected"), "qid")
+        counted = CellTable(points, 2).count_in_boxes(boxes).join(boxes.select("qid", "expected"), "qid")
+        return counted.select("qid", (F.col("cnt") == F.col("expected")).alias("exact"), F.col("expected").between(low, high).alias("in_bracket"))
 
     run.__name__ = f"range_{kind}"
-    return query()(run)
+    return query("SELECT CAST(i AS BIGINT) AS qid, true AS exact, true AS in_bracket FROM range(100) t(i)")(run)
 
 
 range_small, range_medium, range_large = map(_bracketed, ("small", "medium", "large"))
 
+
+@query("SELECT CAST(i AS BIGINT) AS qid, true AS whole, least(50, (SELECT count(*) FROM part)) AS expected FROM range(40) t(i)")
+def range_morton(spark, sf):
+    points = V.parts(spark, sf)
+    boxes = workloads.morton_rectangles(points, 2, 40, 50)
+    return CellTable(points, 2).count_in_boxes(boxes).join(boxes.select("qid", "expected"), "qid").select("qid", (F.col("cnt") >= F.col("expected")).alias("whole"), "expected")
+
 # ---------------------------------------------------------------- updates
 
 
@@ -471,6 +508,18 @@ def period_counts_daily(spark, sf):
     return replay.period_counts(V.event_days(spark, sf))
 
 
+@query("SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS period, count(*) AS cnt FROM orders GROUP BY ALL")
+def period_counts_monthly(spark, sf):
+    t = F.col("o_orderdate")
+    return replay.period_counts(V.table(spark, sf, "orders").select((F.year(t) * 100 + F.month(t)).alias("period")))
+
+
+@query("SELECT period AS at_period, CAST(sum(n) OVER (ORDER BY period ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS cnt FROM (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS period, count(*) AS n FROM orders GROUP BY ALL)")
+def sliding_window_count_monthly(spark, sf):
+    t = F.col("o_orderdate")
+    return replay.window_counts(V.table(spark, sf, "orders").select((F.year(t) * 100 + F.month(t)).alias("period")))
+
+
 @query("SELECT DISTINCT o_orderkey, o_custkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 def dedup_slice_period(spark, sf):
     rows = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -496,8 +545,8 @@ def sliding_window_knn(spark, sf):
 # ---------------------------------------------------------------- layout
 
 #: Constant splits, so that SQL can name the cells.
-_SPLIT = Split(0, 25, Split(1, 120_000, Split(0, 12, Split(), Split()), Split()), Split(1, 110_000, Split(), Split(1, 150_000, Split(), Split())))
-_CELLS = "+cells AS (SELECT *, CAST(CASE WHEN c0 < 25 THEN CASE WHEN c1 < 120000 THEN CASE WHEN c0 < 12 THEN 8 ELSE 9 END ELSE 5 END ELSE CASE WHEN c1 < 110000 THEN 6 ELSE CASE WHEN c1 < 150000 THEN 14 ELSE 15 END END END AS BIGINT) AS cell FROM pts) "
+_SPLIT = Split(0, 25, Split(1, 95_000, Split(0, 12, Split(), Split()), Split()), Split(1, 93_000, Split(), Split(1, 97_000, Split(), Split())))
+_CELLS = "+cells AS (SELECT *, CAST(CASE WHEN c0 < 25 THEN CASE WHEN c1 < 95000 THEN CASE WHEN c0 < 12 THEN 8 ELSE 9 END ELSE 5 END ELSE CASE WHEN c1 < 93000 THEN 6 ELSE CASE WHEN c1 < 97000 THEN 14 ELSE 15 END END END AS BIGINT) AS cell FROM pts) "
 
 
 def _fixed_cells(spark, sf):
@@ -534,9 +583,39 @@ def thin_cells(spark, sf):
     return _fixed_cells(spark, sf).thin(400)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS cell, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS cnt WHERE false")
+#: The cells on record lack a tenth of the points.
+@query(_CELLS + ", rec AS (SELECT cell, count(*) AS cnt, min(c0) AS lo0, max(c0) AS hi0, min(c1) AS lo1, max(c1) AS hi1 FROM cells WHERE id % 10 <> 0 GROUP BY cell) SELECT cell, count(*) AS seen, count(*) FILTER (NOT (c0 BETWEEN lo0 AND hi0 AND c1 BETWEEN lo1 AND hi1)) AS outside, max(cnt) AS cnt FROM cells JOIN rec USING (cell) GROUP BY cell HAVING count(*) <> max(cnt) OR count(*) FILTER (NOT (c0 BETWEEN lo0 AND hi0 AND c1 BETWEEN lo1 AND hi1)) > 0", "pts")
 def layout_violations(spark, sf):
-    return CellTable(V.parts(spark, sf), 2).violations()
+    points = V.parts(spark, sf)
+    recorded = CellTable(points.where("id % 10 <> 0"), 2, split=_SPLIT).cells
+    return CellTable(points, 2, split=_SPLIT, cells=recorded).violations()
+
+
+@query("SELECT CAST(7 AS BIGINT) AS cell, 1 AS dim, 0 AS expected")
+def rotation_violations(spark, sf):
+    return _fixed_cells(spark, sf).rotation_violations()
+
+
+@query("SELECT count(*) AS cnt, min(c0) AS lo0, min(c1) AS lo1, max(c0) AS hi0, max(c1) AS hi1 FROM (SELECT c0, c1 FROM pts UNION ALL SELECT c0, c1 FROM cust)", "pts", "cust")
+def root_box(spark, sf):
+    return updates.SpatialTable(V.parts(spark, sf), 2).insert(V.customers(spark, sf)).root()
+
+
+@query(_CELLS + "SELECT CAST(floor(log2(cell)) AS BIGINT) AS depth, cnt, count(*) AS cells FROM (SELECT cell, count(*) AS cnt FROM cells GROUP BY cell) GROUP BY ALL", "pts")
+def leaf_histogram(spark, sf):
+    return _fixed_cells(spark, sf).leaf_histogram()
+
+
+@query(_CELLS + ", " + _OWN.lstrip("+") + ", rec AS (SELECT cell, min(c0) AS l0, max(c0) AS h0, min(c1) AS l1, max(c1) AS h1 FROM cells GROUP BY cell) SELECT id AS qid, count(*) FILTER (l0 <= hi0 AND h0 >= lo0 AND l1 <= hi1 AND h1 >= lo1 AND NOT (l0 >= lo0 AND h0 <= hi0 AND l1 >= lo1 AND h1 <= hi1)) AS cells FROM own, rec GROUP BY id", "pts")
+def range_visited_cells(spark, sf):
+    return _fixed_cells(spark, sf).visited_boxes(_query_boxes(spark, sf)).select("qid", "cells")
+
+
+@query(_CELLS + ", both_ AS (SELECT cell FROM cells UNION ALL SELECT CASE WHEN c0 < 25 THEN CASE WHEN c1 < 95000 THEN CASE WHEN c0 < 12 THEN 8 ELSE 9 END ELSE 5 END ELSE CASE WHEN c1 < 93000 THEN 6 ELSE CASE WHEN c1 < 97000 THEN 14 ELSE 15 END END END FROM cust), nodes AS (SELECT CAST(cell AS BIGINT) >> h AS node, count(*) AS cnt FROM both_, range(0, 4) t(h) WHERE CAST(cell AS BIGINT) >> h > 0 GROUP BY ALL), inner_ AS (SELECT n.cnt, coalesce(l.cnt, 0) AS left_cnt FROM nodes n LEFT JOIN nodes l ON l.node = 2 * n.node WHERE n.node NOT IN (SELECT cell FROM both_)) SELECT CAST(ratio AS BIGINT) AS ratio, count(*) AS nodes, count(*) FILTER (floor(abs(100.0 * left_cnt / cnt - 50.0)) > ratio) AS unbalanced FROM inner_, (VALUES (2), (5), (10), (20), (30), (40)) r(ratio) GROUP BY ratio", "pts", "cust")
+def balance_study(spark, sf):
+    points = V.parts(spark, sf)
+    table = updates.SpatialTable(points, 2, CellTable(points, 2, split=_SPLIT))
+    return replay.balance(table, V.customers(spark, sf), (2, 5, 10, 20, 30, 40))
 
 
 @query(_knn_sql(10), "pts")
@@ -559,6 +638,11 @@ def zorder_sort_rank(spark, sf):
     return text.with_row_index(keyed.repartitionByRange("z", "id").sortWithinPartitions("z", "id"), "place").select("id", "place")
 
 
+@query(f"SELECT place // 100 AS run, count(*) AS cnt, min(c0) AS lo0, min(c1) AS lo1, max(c0) AS hi0, max(c1) AS hi1 FROM (SELECT c0, c1, row_number() OVER (ORDER BY z, id) - 1 AS place FROM (SELECT id, c0, c1, {_MORTON} AS z FROM pts)) GROUP BY ALL", "pts")
+def zorder_run_boxes(spark, sf):
+    return zorder.runs(V.parts(spark, sf), 2, 100)
+
+
 # ---------------------------------------------------------------- graphs
 
 _GRAPH = f"+edges AS (SELECT qid AS src, nid AS dst, dist2 AS w FROM ({_knn_sql(3, f'{_PAIRS} FROM pts p, pts q')})) "

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.shared import settled
+
 # The headers of sequence files and the types of their elements.
 SEQUENCES = {
     "sequenceInt": "int",
@@ -29,7 +31,8 @@ GRAPH, WEIGHTED_GRAPH, EDGES, WEIGHTED_EDGES = "AdjacencyGraph", "WeightedAdjace
 def with_row_index(df: DataFrame, name: str = "id") -> DataFrame:
     """Rows numbered from 0 in their present order: partition counts, and places inside."""
     mid = F.monotonically_increasing_id()
-    marked = df.withColumn("__part", F.shiftright(mid, 33)).withColumn("__at", mid.bitwiseAND(F.lit((1 << 33) - 1)))
+    # Written first: both branches below read the same numbers, whatever becomes of an executor.
+    marked = settled(df.withColumn("__part", F.shiftright(mid, 33)).withColumn("__at", mid.bitwiseAND(F.lit((1 << 33) - 1))), "row-index")
     sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before"))
     return marked.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
