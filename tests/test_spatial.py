@@ -203,3 +203,57 @@ def test_splits_separate_equal_values():
 def test_views_have_no_repeated_ids(spark, sf_dir):
     p = V.parts(spark, sf_dir)
     assert p.select("id").distinct().count() == p.count()
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_rows_read_by_a_search_dont_grow_with_the_table(spark, n):
+    points = generators.uniform(spark, n, 2)
+    cells = CellTable(points, 2)
+    assert abs(cells.cells.count() - n / 3000) < n / 1500 + 4
+    asking = workloads.as_queries(points.where(f"id % {n // 100} = 0"), 2)
+    largest = cells.cells.agg({"cnt": "max"}).first()[0]
+    assert largest < 8192 and cells.visited(asking, 10).first().mean_cells < 3
+
+
+def test_written_layout_is_read_back_and_pruned(spark, tmp_path):
+    points = generators.uniform(spark, 50_000, 2, 0, 99_999)
+    cells = CellTable(points, 2, cell_rows=512)
+    cells.write(f"{tmp_path}/layout")
+    kept = CellTable.read(spark, f"{tmp_path}/layout")
+    box = spark.createDataFrame([(0, 100, 100, 9000, 9000)], "qid long, lo0 long, lo1 long, hi0 long, hi1 long")
+    asking = workloads.as_queries(points.where("id % 5000 = 0"), 2)
+    assert bag(kept.count_in_boxes(box)) == bag(ranges.count_in_boxes(box, points, 2))
+    assert bag(kept.report_boxes(box)) == bag(ranges.report_boxes(box, points, 2))
+    assert bag(kept.knn(asking, 5)) == bag(knn.brute_knn(asking, points, 5, 2))
+    plan = kept.report_boxes(box)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(cell" in plan or "PushedFilters: [IsNotNull(cell), In(cell" in plan or "cell IN" in plan
+
+
+def test_hot_cells_are_dealt_to_a_grid(spark, monkeypatch):
+    from quadrille.operators import cells as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 40)
+    monkeypatch.setattr(module, "PACK_ROWS", 30)
+    points = made(spark, FIXTURES["random"] + [(50, 15)] * 200)
+    cells, asking = CellTable(points, 2, levels=2), workloads.as_queries(points, 2)
+    boxes = points.selectExpr("id as qid", "c0 - 2 as lo0", "c1 - 2 as lo1", "c0 + 2 as hi0", "c1 + 2 as hi1")
+    assert bag(cells.knn(asking, 7)) == bag(knn.brute_knn(asking, points, 7, 2))
+    assert bag(cells.count_in_boxes(boxes)) == bag(ranges.count_in_boxes(boxes, points, 2))
+    assert bag(cells.report_boxes(boxes)) == bag(ranges.report_boxes(boxes, points, 2))
+
+
+def test_a_small_delete_moves_no_other_rows(spark):
+    points = made(spark, FIXTURES["random"])
+    out = updates.delete_lenient(points, points.where("id < 5"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    nulls = spark.createDataFrame([(1, None, 2), (1, None, 2), (1, None, 2), (2, 3, None)], POINTS)
+    assert bag(updates.delete_strict(nulls, nulls.limit(1).unionAll(nulls.where("id = 2")))) == [(1, None, 2)] * 2
+
+
+def test_null_coordinates_are_in_no_region(spark):
+    points = spark.createDataFrame([(1, None, 2), (2, 3, 4), (3, 5, None)], POINTS)
+    q = spark.createDataFrame([(0, 3, 3)], "qid long, q0 long, q1 long")
+    box = spark.createDataFrame([(0, -9, -9, 99, 99)], "qid long, lo0 long, lo1 long, hi0 long, hi1 long")
+    cells = CellTable(points, 2)
+    assert [r.nid for r in cells.knn(q, 3).collect()] == [2] and bag(cells.report_boxes(box)) == [(0, 2, 3, 4)]
