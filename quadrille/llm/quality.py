@@ -6,8 +6,8 @@ comparisons; a logistic regression with an L1 penalty over these rules (and the
 statistics themselves) keeps few of them. The rules that stay are compiled into one Spark
 column expression, so scoring is a projection.
 
-The fit uses at most ``SAMPLE`` labelled rows, those of the least hash of the id (documented
-bound); everything else covers all rows. ``lang``, ``source`` and the id are no inputs.
+The fit uses at most ``SAMPLE`` labelled ids, those of the least hash (documented bound);
+everything else covers all rows. ``lang``, ``source`` and the id are no inputs.
 
 Defined results: a null or empty text has all statistics zero and gets their score; equal
 texts get equal scores; a label that is null teaches nothing; without labelled rows, or
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import bytetext
-from quadrille.llm.common import fold_of, settle
+from quadrille.llm.common import fold_of, settle, tidy
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -79,7 +79,7 @@ def _measure(batches):
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS))
 
 
 # ---------------------------------------------------------------- the fit
@@ -148,14 +148,15 @@ class RuleModel:
     rules: list[tuple[Rule, float]] = field(default_factory=list)
     linear: list[tuple[int, float, float, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score as one Spark expression over the statistics."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as one Spark expression over the statistics, columns or fields of ``prefix``."""
+        value = lambda k: F.col(prefix + STATISTICS[k])
         parts = [F.lit(self.intercept)]
         for rule, weight in self.rules:
-            tests = [F.col(STATISTICS[k]) <= at if side else F.col(STATISTICS[k]) > at for k, side, at in rule]
+            tests = [value(k) <= at if side else value(k) > at for k, side, at in rule]
             parts.append(F.when(reduce(lambda p, q: p & q, tests), F.lit(weight)).otherwise(F.lit(0.0)))
         for k, low, high, weight in self.linear:
-            parts.append(F.least(F.greatest(F.col(STATISTICS[k]), F.lit(low)), F.lit(high)) * weight)
+            parts.append(F.least(F.greatest(value(k), F.lit(low)), F.lit(high)) * weight)
         return 1 / (1 + F.exp(-reduce(lambda p, q: p + q, parts)))
 
 
@@ -188,17 +189,25 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
     return model
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> RuleModel:
-    """From rows whose crc32 of the id modulo 5 is not 0."""
+def chosen(ids: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> DataFrame:
+    """(doc_id, y): labelled ids of ``ids`` (doc_id) whose crc32 modulo 5 is not 0, at most ``sample``, by the least hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL")
-    rows = stats.where(fold_of(F.col("doc_id"), FOLDS) != 0).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("y", *STATISTICS).toPandas().to_numpy(dtype=float)
-    return fit(rows[:, 1:], (rows[:, 0] > 0.5).astype(float))
+    there = ids.select("doc_id").where(fold_of(F.col("doc_id"), FOLDS) != 0)
+    return known.distinct().join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+
+
+def train(stats: DataFrame, taught: DataFrame) -> RuleModel:
+    """From the rows of ``stats`` whose ids are in ``taught``, which ``chosen`` bounds; an id that repeats counts once, with its least statistics."""
+    held = F.broadcast(taught)
+    rows = stats.join(held, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "y", "s.*").toPandas()
+    rows = rows.sort_values(["doc_id", "y"]).to_numpy(dtype=float)
+    return fit(rows[:, 2:], (rows[:, 1] > 0.5).astype(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     stats = settle(measured(docs, id_col, text), "quality-statistics")
-    score = train(stats, labels, sample).column()
+    score = train(stats, settle(chosen(stats, labels, sample), "quality-taught")).column()
     out = stats.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -206,20 +215,29 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that the classifier rejects.
 
-    The statistics are written once for the fit; the decision is then taken in the task
-    that holds the text, so that no text is shuffled.
+    Only the texts that teach are measured for the fit. Then each text is measured once,
+    in a worker that gives its statistics back and not the text, and the compiled score
+    filters the rows where they lie. All rows of one text stay or go together.
     """
-    model = train(settle(measured(docs, id_col, text), "quality-statistics"), labels, sample)
-    at = docs.columns.index(text)
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    taught = settle(chosen(ids, labels, sample), "quality-taught")
+    lessons = docs.join(F.broadcast(taught.select(F.col("doc_id").alias("__taught")).distinct()), F.col(id_col).cast("long") == F.col("__taught"), "left_semi")
+    score = train(measured(lessons, id_col, text), taught).column("__statistics.")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("__statistics", _measured_column()(F.col(text).cast("string"))).where(score >= threshold).select(*names)
+
 
-    def choose(batches):
-        for batch in batches:
-            data, offs = bytetext.utf8(batch.column(at))
-            parts = [statistics(data, offs[i : j + 1]) for i, j in bytetext.slabs(offs)]
-            x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
-            yield batch.filter(pa.array(predict(model, x) >= threshold))
+def _measured_column():
+    """The statistics of a text column as one struct."""
+
+    @F.arrow_udf(", ".join(f"{x} double" for x in STATISTICS))
+    def measure(texts: pa.Array) -> pa.Array:
+        data, offs = bytetext.utf8(texts)
+        parts = [statistics(data, offs[i : j + 1]) for i, j in bytetext.slabs(offs)]
+        x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+        return pa.StructArray.from_arrays([pa.array(x[:, k]) for k in range(x.shape[1])], names=list(STATISTICS))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return measure.asNondeterministic()  # so that it is not evaluated once for each use
 
 
 def predict(model: RuleModel, x: np.ndarray) -> np.ndarray:
