@@ -19,7 +19,6 @@ name.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import bytetext
-from quadrille.llm.common import settle
+from quadrille.llm.common import settle, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -212,7 +211,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "doc
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b) if blocks > 1 else items
         grams = docs.sparkSession.sparkContext.broadcast(GramSet([(x.i, x.t) for x in part.toLocalIterator()], window))
-        docs = docs.mapInArrow(_cleaner(grams, mode, docs.columns.index(text)), docs.schema)
+        docs = docs.mapInArrow(tidy(_cleaner(grams, mode, docs.columns.index(text))), docs.schema)
     return docs
 
 
@@ -250,7 +249,3 @@ def _cleaner(grams, mode, at):
                     yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
 
     return clean
-
-
-def empty_sha() -> str:
-    return hashlib.sha256(b"").hexdigest()

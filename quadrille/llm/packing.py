@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import settle
+from quadrille.llm.common import settle, tidy
 
 LENGTH = 2048
 GRAIN = 8
 END = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _MARKS = b".,!?%&*#$;:|)]}\"-"  # together one word of the vocabulary's splitting
 
 
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    measured = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(_measure(tokenizer, length, grain), LENGTHS), "packing-lengths")
+    measured = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(_measure(tokenizer, length, grain)), LENGTHS), "packing-lengths")
 
     # What lies before each task's rests of a class, and before its whole sequences.
     by_class = measured.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -24,6 +24,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quadrille.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "street")
 BASE = KINDS[:4]
 
@@ -219,4 +221,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             column = batch.column(at)
             yield batch.set_column(at, batch.schema.field(at), pa.array([None if x is None else redacted(x) for x in column.to_pylist()], column.type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)

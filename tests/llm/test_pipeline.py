@@ -3,10 +3,11 @@ import re
 import corpus_pipeline
 from quadrille.llm import pii, quality
 from quadrille.llm.common import table
+from tests.llm import cases
 from tests.llm.test_decontaminate import brute as brute_windows
+from tests.llm.test_nearcopies import brute as brute_groups
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_pii import RULES
-from tests.llm.test_simhash import brute_classes, brute_print
 
 
 def test_each_stage_against_brute_force(spark, sf_dir):
@@ -22,12 +23,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     good = spark.createDataFrame(good_rows, docs.schema)
 
     first = sorted(stages["simhash"](spark, good, sf_dir).collect())
-    prints = {r.doc_id: brute_print(r.text) for r in good_rows}
-    root = brute_classes(list(prints.values()))
-    least = {}
-    for i in sorted(prints, reverse=True):
-        least[root[prints[i]]] = i
-    assert first == [r for r in good_rows if least[root[prints[r.doc_id]]] == r.doc_id]
+    assert first == [good_rows[k] for k in brute_groups([(r.doc_id, r.text) for r in good_rows])]
     first_docs = spark.createDataFrame(first, docs.schema)
 
     clean = sorted(stages["decontaminate"](spark, first_docs, sf_dir).collect())
@@ -48,3 +44,25 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     key = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
     assert key(whole) == key(pieces)
+
+
+def test_awkward_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns; then no rows at all."""
+    docs = cases.frame(spark)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "gnu general public license apache license"), (None, "x"), (2, None)], "item_id long, text string")
+    for name, rows in (("full", docs), ("empty", docs.limit(0))):
+        sf = str(tmp_path / name)
+        for table_name, frame in (("documents", rows), ("labels", labels), ("benchmark", benchmark)):
+            frame.write.parquet(f"{sf}/{table_name}.parquet")
+        now = table(spark, sf, "documents")
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            now = apply(spark, now, sf)
+            assert now.columns == docs.columns, stage
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        last = [(r.doc_id, r.text) for r in now.collect()]
+        pieces = corpus_pipeline.run(spark, sf).collect()
+        assert bool(pieces) == (name == "full")
+        assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+        assert sorted({r.doc_id for r in pieces}, key=repr) == sorted({i for i, _ in last}, key=repr)
+        assert sum(r.start == 0 for r in pieces) == len(last)
