@@ -93,7 +93,14 @@ def spans(voted: DataFrame) -> DataFrame:
     order = Window.partitionBy("row_no", "template").orderBy("diagonal")
     partial = partial.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"))
     partial = partial.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(order))
-    merged = partial.groupBy("row_no", "template", "run").agg(F.sum("votes").alias("votes"), F.first("pairs").alias("pairs"), F.first("label").alias("label"), F.min("from_at").alias("first"), F.max("last_at").alias("last"), F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("row_no", "template", "run")
+    partial = partial.withColumn("length", F.max("last_at").over(run) - F.min("from_at").over(run)).withColumn("away", F.col("diagonal") - F.min("diagonal").over(run))
+    # A run that is longer than a span may be is cut at each half template's length of diagonals,
+    # in two ways, so that a span that drifts by less than a quarter lies whole in a piece.
+    half = F.greatest(F.floor(F.col("pairs") / 2), F.lit(2))
+    ways = F.when(F.col("length") <= F.col("pairs") * 2, F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    partial = partial.withColumn("way", F.explode(ways)).withColumn("piece", F.when(F.col("way") < 0, F.lit(0)).otherwise(F.floor((F.col("away") + F.col("way") * F.floor(half / 2)) / half)))
+    merged = partial.groupBy("row_no", "template", "run", "way", "piece").agg(F.sum("votes").alias("votes"), F.first("pairs").alias("pairs"), F.first("label").alias("label"), F.min("from_at").alias("first"), F.max("last_at").alias("last"), F.count(F.lit(1)).alias("n"))
     merged = merged.where((F.col("votes") >= F.ceil(F.col("pairs") * COVER)) & (F.col("last") - F.col("first") <= F.col("pairs") * 2) & ~((F.col("n") == 1) & (F.col("votes") == F.col("pairs"))))
     return whole.unionByName(merged.select("row_no", "label", F.lit(False).alias("base"), "first", (F.col("last") + 1).alias("last"), F.least(F.lit(1.0), F.col("votes") / F.col("pairs")).alias("share")))
 

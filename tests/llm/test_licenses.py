@@ -45,6 +45,15 @@ def test_changed_templates_are_found_by_neighbouring_diagonals(spark):
     assert rows[1].score == 1 and 0.7 <= rows[2].score < 1 and rows[3].score == 0
 
 
+def test_a_long_run_of_diagonals_keeps_its_label(spark):
+    w = next(t for t in licenses.TEXTS if t.startswith("permission is")).split()
+    changed = " ".join([*w[:6], "so", *w[6:12], *w[13:]])
+    docs = [(1, changed), (2, changed + " documentation files" * 40), (3, "documentation files " * 40 + changed), (4, "documentation files " * 40)]
+    rows = {r.doc_id: r for r in licenses.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[k].labels for k in range(1, 5)] == ["mit", "mit", "mit", ""]
+    assert all(rows[k].score >= 0.7 for k in (1, 2, 3)) and rows[4].score == 0
+
+
 def test_plan_has_no_python(spark):
     plan = licenses.report(cases.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
