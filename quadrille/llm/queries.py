@@ -27,7 +27,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_secrets(spark, sf_dir):
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.incremental_report(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark, sf_dir):
