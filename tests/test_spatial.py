@@ -257,3 +257,19 @@ def test_null_coordinates_are_in_no_region(spark):
     box = spark.createDataFrame([(0, -9, -9, 99, 99)], "qid long, lo0 long, lo1 long, hi0 long, hi1 long")
     cells = CellTable(points, 2)
     assert [r.nid for r in cells.knn(q, 3).collect()] == [2] and bag(cells.report_boxes(box)) == [(0, 2, 3, 4)]
+
+
+def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
+    from quadrille.operators import cells as layout
+
+    rows = [(random.Random(k).randrange(60), random.Random(-k).randrange(60)) for k in range(700)] + [(7, 7)] * 60
+    points = made(spark, rows)
+    boxes = points.selectExpr("id as qid", "c0 - 9 as lo0", "c1 - 4 as lo1", "c0 + 9 as hi0", "c1 + 4 as hi1")
+    wanted = bag(ranges.report_boxes(boxes, points, 2))
+    for pairs, part in ((layout.PAIRS_EACH, layout.PART_ROWS), (500, 16)):
+        monkeypatch.setattr(layout, "PAIRS_EACH", pairs)
+        monkeypatch.setattr(layout, "PART_ROWS", part)
+        cells = CellTable(points, 2, levels=4)
+        found = cells.report_boxes(boxes)
+        assert "FlatMap" not in found._jdf.queryExecution().toString()
+        assert bag(found) == wanted
