@@ -265,6 +265,7 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
     rows = [(random.Random(k).randrange(60), random.Random(-k).randrange(60)) for k in range(700)] + [(7, 7)] * 60
     points = made(spark, rows)
     boxes = points.selectExpr("id as qid", "c0 - 9 as lo0", "c1 - 4 as lo1", "c0 + 9 as hi0", "c1 + 4 as hi1")
+    balls = workloads.as_queries(points, 2).selectExpr("*", "cast(qid % 20 as bigint) as r")
     wanted = bag(ranges.report_boxes(boxes, points, 2))
     for pairs, part in ((layout.PAIRS_EACH, layout.PART_ROWS), (500, 16)):
         monkeypatch.setattr(layout, "PAIRS_EACH", pairs)
@@ -273,3 +274,4 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
         found = cells.report_boxes(boxes)
         assert "FlatMap" not in found._jdf.queryExecution().toString()
         assert bag(found) == wanted
+        assert bag(cells.report_balls(balls)) == bag(ranges.report_balls(balls, points, 2))
