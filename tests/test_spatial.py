@@ -274,4 +274,5 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
         found = cells.report_boxes(boxes)
         assert "FlatMap" not in found._jdf.queryExecution().toString()
         assert bag(found) == wanted
+        assert bag(CellTable(points, 2, levels=4, rule="rotate").report_boxes(boxes)) == wanted
         assert bag(cells.report_balls(balls)) == bag(ranges.report_balls(balls, points, 2))
