@@ -267,6 +267,7 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
     boxes = points.selectExpr("id as qid", "c0 - 9 as lo0", "c1 - 4 as lo1", "c0 + 9 as hi0", "c1 + 4 as hi1")
     balls = workloads.as_queries(points, 2).selectExpr("*", "cast(qid % 20 as bigint) as r")
     wanted = bag(ranges.report_boxes(boxes, points, 2))
+    strict = bag(ranges.report_boxes(boxes.selectExpr("qid", "lo0 + 1 as lo0", "lo1 + 1 as lo1", "hi0 - 1 as hi0", "hi1 - 1 as hi1"), points, 2))
     for pairs, part in ((layout.PAIRS_EACH, layout.PART_ROWS), (500, 16)):
         monkeypatch.setattr(layout, "PAIRS_EACH", pairs)
         monkeypatch.setattr(layout, "PART_ROWS", part)
@@ -274,5 +275,6 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
         found = cells.report_boxes(boxes)
         assert "FlatMap" not in found._jdf.queryExecution().toString()
         assert bag(found) == wanted
+        assert bag(cells.report_boxes(boxes, open_=True)) == strict
         assert bag(CellTable(points, 2, levels=4, rule="rotate").report_boxes(boxes)) == wanted
         assert bag(cells.report_balls(balls)) == bag(ranges.report_balls(balls, points, 2))
