@@ -278,3 +278,22 @@ def test_reports_are_joined_by_cells_and_held_by_no_task(spark, monkeypatch):
         assert bag(cells.report_boxes(boxes, open_=True)) == strict
         assert bag(CellTable(points, 2, levels=4, rule="rotate").report_boxes(boxes)) == wanted
         assert bag(cells.report_balls(balls)) == bag(ranges.report_balls(balls, points, 2))
+
+
+def test_counts_in_boxes_take_equal_points_and_equal_boxes_as_one(spark):
+    import numpy as np
+
+    from quadrille.operators.celltree import Boxes, weight_in_boxes
+
+    rng = np.random.default_rng(5)
+    for dim in (1, 2, 3):
+        for n in (1, 63, 400):
+            for kind in ("int64", "float64"):
+                x, weight = rng.integers(0, 20, (n, dim)).astype(kind), rng.integers(1, 9, n)
+                lo = rng.integers(-3, 22, (200, dim)).astype(kind)
+                hi = lo + rng.integers(-2, 24, (200, dim)).astype(kind)
+                wanted = [weight[((x >= a) & (x <= b)).all(axis=1)].sum() for a, b in zip(lo, hi)]
+                assert weight_in_boxes(x, weight, Boxes(lo, hi)).tolist() == wanted
+    points = spark.createDataFrame([(k, k % 7, k % 5, k % 3) for k in range(500)], "id long, c0 long, c1 long, c2 long")
+    boxes = points.selectExpr("id as qid", "c0 - 1 as lo0", "c0 + 1 as hi0", "c1 as lo1", "c1 + 2 as hi1", "1l as lo2", "c2 as hi2")
+    assert bag(CellTable(points, 3, levels=3).count_in_boxes(boxes)) == bag(ranges.count_in_boxes(boxes, points, 3))
