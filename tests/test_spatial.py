@@ -297,3 +297,12 @@ def test_counts_in_boxes_take_equal_points_and_equal_boxes_as_one(spark):
     points = spark.createDataFrame([(k, k % 7, k % 5, k % 3) for k in range(500)], "id long, c0 long, c1 long, c2 long")
     boxes = points.selectExpr("id as qid", "c0 - 1 as lo0", "c0 + 1 as hi0", "c1 as lo1", "c1 + 2 as hi1", "1l as lo2", "c2 as hi2")
     assert bag(CellTable(points, 3, levels=3).count_in_boxes(boxes)) == bag(ranges.count_in_boxes(boxes, points, 3))
+
+
+def test_counts_after_updates_keep_the_weight_of_copies(spark):
+    points = made(spark, [(k % 4, k % 3) for k in range(60)])
+    table = updates.SpatialTable(points, 2).insert(points.selectExpr("id + 100 as id", "c0", "c1")).delete(points.where("id < 30"), strict=False)
+    boxes = points.selectExpr("id as qid", "c0 as lo0", "c1 as lo1", "c0 + 1 as hi0", "c1 + 1 as hi1")
+    found = table.count_in_boxes(boxes)
+    assert bag(found) == bag(ranges.count_in_boxes(boxes, table.points, 2))
+    assert "weight" in found._jdf.queryExecution().toString()
