@@ -306,3 +306,18 @@ def test_counts_after_updates_keep_the_weight_of_copies(spark):
     found = table.count_in_boxes(boxes)
     assert bag(found) == bag(ranges.count_in_boxes(boxes, table.points, 2))
     assert "weight" in found._jdf.queryExecution().toString()
+
+
+def test_full_comparison_gives_a_query_its_closest_alone_from_a_task(spark):
+    rows = [(random.Random(k).randrange(40), random.Random(-k).randrange(40)) for k in range(300)] + [(3, 3)] * 40
+    points, k = made(spark, rows), 12
+    for kind in ("long", "double"):
+        p = points.selectExpr("id", f"cast(c0 as {kind}) as c0", f"cast(c1 as {kind}) as c1").unionAll(spark.createDataFrame([(999, None, 1)], POINTS).selectExpr("id", f"cast(c0 as {kind})", f"cast(c1 as {kind})"))
+        for own in (False, True):
+            found = knn.brute_knn(workloads.as_queries(points, 2).selectExpr("qid", f"cast(q0 as {kind}) as q0", f"cast(q1 as {kind}) as q1"), p, k, 2, exclude_self=own)
+            wanted = []
+            for q, (a, b) in enumerate(rows):
+                near = sorted(((c - a) ** 2 + (d - b) ** 2, i) for i, (c, d) in enumerate(rows) if i != q or not own)[:k]
+                wanted += [(q, i, d, rk) for rk, (d, i) in enumerate(near, 1)]
+            assert bag(found) == sorted(wanted)
+            assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
