@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import coords, dist2
 from quadrille.operators.cells import CellTable
 from quadrille.operators.knn import in_blocks, top_k
+from quadrille.sources.shared import settled
 
 WINDOW = 5
+MOST_APART = 1 << 30  # the squares of all coordinates stay in 64 bits
 
 
 def period_counts(periods: DataFrame) -> DataFrame:
@@ -48,10 +52,30 @@ def window_counts(periods: DataFrame, length: int = WINDOW) -> DataFrame:
 def window_knn(periods: DataFrame, queries: DataFrame, k: int, dim: int, length: int = WINDOW) -> DataFrame:
     """(at_period, qid, nid, dist2, rk): neighbours of fixed queries among the rows live after each period.
 
-    Each row meets the queries once: a window's neighbours are among those of its periods.
+    A window's neighbours are among those of its periods, so each period is searched once. All
+    periods are one layout: a period lies apart from the next, on a coordinate of its own, by
+    more than any two rows or queries do, so a search stays in its period.
     """
-    pairs = in_blocks(queries, lambda q: periods.join(q).select("period", "qid", F.col("id").alias("nid"), dist2(coords(dim), coords(dim, "q")).alias("dist2")))
-    of_period = top_k(pairs, k, "period").drop("rk")
+    own, asks = [f"c{i}" for i in range(dim)], [f"q{i}" for i in range(dim)]
+    # no period can be told apart so if coordinates are too large or not finite: then each row meets each query
+    numbers = settled(periods.select("period").distinct().dropna().withColumn("number", F.row_number().over(Window.orderBy("period"))), "replay-periods")
+    ends = lambda frame, names: frame.agg(*[f(c).alias(f"{c}{f.__name__}") for c in names for f in (F.min, F.max)]).first()
+    held, asked, n = ends(periods, own), ends(queries, asks), numbers.count()
+    if not n or any(v is None for v in (*held, *asked)):
+        apart = 1
+    elif not all(math.isfinite(v) for v in (*held, *asked)):
+        apart = MOST_APART
+    else:
+        apart = math.isqrt(math.ceil(sum(max(abs(held[2 * i + 1] - asked[2 * i]), abs(asked[2 * i + 1] - held[2 * i])) ** 2 for i in range(dim)))) + 1
+    if apart * n >= MOST_APART:
+        pairs = in_blocks(queries, lambda q: periods.join(q).select("period", "qid", F.col("id").alias("nid"), dist2(coords(dim), coords(dim, "q")).alias("dist2")))
+        of_period = top_k(pairs, k, "period").drop("rk")
+    else:
+        place = (F.col("number").cast("long") * F.lit(apart).cast("long"))
+        layout = CellTable(periods.join(F.broadcast(numbers), "period").select("id", *own, place.alias(f"c{dim}")), dim + 1)
+        each = settled(queries.select("qid", *asks).crossJoin(F.broadcast(numbers)).withColumn("search", F.monotonically_increasing_id()), "replay-searches")
+        near = layout.knn(each.select(F.col("search").alias("qid"), *asks, place.alias(f"q{dim}")), k).where(F.col("dist2") < F.lit(apart).cast("long") * F.lit(apart).cast("long"))
+        of_period = near.select(F.col("qid").alias("search"), "nid", "dist2").join(each.select("search", "period", "qid"), "search").select("period", "qid", "nid", "dist2")
     return top_k(of_period.join(_live_at(periods, length), "period").drop("period"), k, "at_period")
 
 

@@ -321,3 +321,19 @@ def test_full_comparison_gives_a_query_its_closest_alone_from_a_task(spark):
                 wanted += [(q, i, d, rk) for rk, (d, i) in enumerate(near, 1)]
             assert bag(found) == sorted(wanted)
             assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_searches_by_one_layout_equal_full_ones(spark, monkeypatch):
+    from quadrille.operators import replay
+
+    periods = spark.createDataFrame([(2000 + k % 9 if k % 9 != 4 else None, k, random.Random(k).randrange(50), random.Random(-k).randrange(5) * 10) for k in range(400)] + [(2020, 900, 1, 1)], "period int, id long, c0 long, c1 long")
+    asking = workloads.as_queries(periods.where("id % 20 = 0"), 2)
+    found = replay.window_knn(periods, asking, 4, 2, length=3)
+    assert "NestedLoop" not in found._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().toString()
+    doubles = periods.selectExpr("period", "id", "c0 / 8 as c0", "c1 / 8 as c1")
+    asked = workloads.as_queries(doubles.where("id % 20 = 0"), 2)
+    fractions = bag(replay.window_knn(doubles, asked, 4, 2, length=3))
+    by_layout = bag(found)
+    monkeypatch.setattr(replay, "MOST_APART", 0)
+    assert by_layout == bag(replay.window_knn(periods, asking, 4, 2, length=3))
+    assert fractions == bag(replay.window_knn(doubles, asked, 4, 2, length=3))
