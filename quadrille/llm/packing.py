@@ -24,7 +24,6 @@ read.
 
 from __future__ import annotations
 
-import itertools
 import os
 import unicodedata
 import zlib
@@ -51,12 +50,13 @@ class Encoder:
 
     White space never enters a token of this vocabulary, so a text's ids are those of its
     runs between ASCII white space. Runs are kept with their ids in two generations of at
-    most ``CACHE_WORDS``. A run of letters is one word of the vocabulary's own splitting,
+    most ``words``. A run of letters is one word of the vocabulary's own splitting,
     whose last token alone is marked as an end; so new words are encoded many at a time,
     as one text, and parted at the marks. Other runs are encoded one by one.
     """
 
-    def __init__(self, path: str, end: int = END):
+    def __init__(self, path: str, end: int = END, words: int = CACHE_WORDS):
+        self.words = words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,33 +108,46 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         runs = [x.split() for x in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.words:
             self.known, self.older = {}, self.known
-        missing = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(runs)))
+        get = self.known.get
+        found, lacks, missing = [list(map(get, x)) for x in runs], [], set()
+        for x, ids in zip(runs, found):
+            at = 0
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at)
+                lacks.append((ids, at, x[at]))
+                missing.add(x[at])
+                at += 1
         if missing:
             self.learn(missing)
-        get = self.known.__getitem__
-        return [b"".join([*map(get, x), self.end]) for x in runs]
+            for ids, at, run in lacks:
+                ids[at] = self.known[run]
+        for ids in found:
+            ids.append(self.end)
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = CACHE_WORDS) -> Encoder:
+    """The worker's encoder; the words that it keeps change its time and memory alone."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].words = words
     return _encoders[path]
 
 
 LENGTHS = "doc_id long, doc_tokens long, part int, class int, rank long, whole_before long, crcs array<long>"
 
 
-def _measure(path: str, length: int, grain: int):
+def _measure(path: str, length: int, grain: int, words: int = CACHE_WORDS):
     def run(batches):
         from pyspark import TaskContext
 
         part, ranks, whole = TaskContext.get().partitionId(), {}, 0
-        tokens = encoder(path)
+        tokens = encoder(path, words)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             out: list[tuple] = []
@@ -292,14 +305,14 @@ def layout(counts: dict[int, int], length: int, grain: int) -> list[tuple[int, i
 # ---------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, grain: int = GRAIN, words: int = CACHE_WORDS) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    measured = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(_measure(tokenizer, length, grain)), LENGTHS), "packing-lengths")
+    measured = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(_measure(tokenizer, length, grain, words)), LENGTHS), "packing-lengths")
 
     # What lies before each task's rests of a class, and before its whole sequences.
     by_class = measured.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -58,3 +58,12 @@ def test_patterns_hold_all_and_are_near_the_bound():
     assert all((p * sizes[counts > 0]).sum() <= 256 for p, _ in found)
     big = counts[128:].sum()
     assert sum(n for _, n in found) <= max(big, -(-(counts * sizes).sum() // 256)) * 1.02 + 5
+
+
+def test_ids_dont_depend_on_the_words_kept():
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"Word{k} the, cat{k % 7} <b>{k}</b> sat\u00e9{k % 3}!".encode() for k in range(300)] + [b"", b" "]
+    few, many = packing.Encoder(path, words=5), packing.Encoder(path)
+    assert [few.encode([x])[0] for x in texts * 2] == many.encode(texts * 2)
