@@ -24,6 +24,8 @@ read.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import unicodedata
 import zlib
@@ -52,7 +54,8 @@ class Encoder:
     runs between ASCII white space. Runs are kept with their ids in two generations of at
     most ``words``. A run of letters is one word of the vocabulary's own splitting,
     whose last token alone is marked as an end; so new words are encoded many at a time,
-    as one text, and parted at the marks. Other runs are encoded one by one.
+    as one text, and parted at the marks. Words of small ASCII letters, which normalising and
+    splitting leave alone, go to the same model without these steps. Other runs are encoded one by one.
     """
 
     def __init__(self, path: str, end: int = END, words: int = CACHE_WORDS):
@@ -61,6 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
@@ -71,11 +76,11 @@ class Encoder:
     def _one(self, run: bytes) -> bytes:
         return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_words(self, new: list[bytes]) -> None:
-        """Runs that are all letters after normalising."""
+    def _learn_words(self, new: list[bytes], by) -> None:
+        """Runs that are all letters after normalising; ``by`` is the tokenizer or, for small ASCII letters, the bare one."""
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(by.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):  # letters to one side only
                 self.known.update((run, self._one(run)) for run in part)
@@ -84,48 +89,43 @@ class Encoder:
             self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
 
     def learn(self, new: set[bytes]) -> None:
-        words, marked = set(), []
+        plain, words, marked = set(), set(), []
         for run in new:
-            if self.older and (old := self.older.get(run)) is not None:
-                self.known[run] = old
-                continue
             # case of ASCII letters doesn't matter, but for the special tokens "<|...|>"
             core = run.lower() if b"<" not in run else run
+            if core.isalpha():  # of bytes: ASCII
+                plain.add(core)
+                if core != run:
+                    marked.append((run, core, b""))
+                continue
             tail = core[len(core.rstrip(_MARKS)) :]
             core = core[: len(core) - len(tail)]
             if core and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
                 if core not in self.known:
-                    words.add(core)
+                    (plain if core.isalpha() and core.islower() else words).add(core)
                 if core != run:
                     marked.append((run, core, tail))
             else:
                 self.known[run] = self._one(run)
-        self._learn_words(list(words))
+        self._learn_words(list(plain), self.bare)
+        self._learn_words(list(words), self.tokenizer)
         for run, core, tail in marked:
             if tail and tail not in self.known:
                 self.known[tail] = self._one(tail)
             self.known[run] = self.known[core] + (self.known[tail] if tail else b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        runs = [x.split() for x in texts]
+        runs = [(x if b"<" in x else x.lower()).split() for x in texts]
         if len(self.known) > self.words:
             self.known, self.older = {}, self.known
-        get = self.known.get
-        found, lacks, missing = [list(map(get, x)) for x in runs], [], set()
-        for x, ids in zip(runs, found):
-            at = 0
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at)
-                lacks.append((ids, at, x[at]))
-                missing.add(x[at])
-                at += 1
-        if missing:
-            self.learn(missing)
-            for ids, at, run in lacks:
-                ids[at] = self.known[run]
-        for ids in found:
-            ids.append(self.end)
-        return [b"".join(ids) for ids in found]
+        missing: set[bytes] = set()
+        for x in runs:
+            missing.update(itertools.filterfalse(self.known.__contains__, x))
+        again = missing & self.older.keys() if self.older else set()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(missing - again)
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) + self.end for x in runs]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -67,3 +67,26 @@ def test_ids_dont_depend_on_the_words_kept():
     texts = [f"Word{k} the, cat{k % 7} <b>{k}</b> sat\u00e9{k % 3}!".encode() for k in range(300)] + [b"", b" "]
     few, many = packing.Encoder(path, words=5), packing.Encoder(path)
     assert [few.encode([x])[0] for x in texts * 2] == many.encode(texts * 2)
+
+
+def test_words_of_ascii_letters_skip_the_steps_they_do_not_need():
+    """They go to the bare model, with the ids of the whole tokenizer; a text is one run of its kind in either case."""
+    texts = ["Plain WORDS, and plain words; don't İstanbul ΣΑΣ", "<|endoftext|> <B>Plain</B> WORDS É x́, ſ K"]
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole, seen = own.tokenizer, []
+
+    class Watched:
+        def encode(self, text, **more):
+            return whole.encode(text, **more)
+
+        def encode_batch_fast(self, batch, **more):
+            seen.extend(batch)
+            return whole.encode_batch_fast(batch, **more)
+
+    own.tokenizer = Watched()
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
+        own.known, own.older = {}, own.known
+    assert not [word for text in seen for word in text.split() if word.isascii()]
+    assert b"plain" in own.older and b"Plain" not in own.older
