@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontaminate, nearcopies, packing, pii, quality
-from quadrille.llm.common import delete, scratch, settle, table
+from quadrille.llm.common import delete, give_back, scratch, settle, table
 
 
 #: Rows in a batch between Spark and its Python workers, so that long texts don't pile up in an executor.
@@ -22,6 +22,7 @@ BATCH_ROWS = 1_000
 
 
 def _batched(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    give_back()  # what the driver held in the stage before
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs
 
@@ -32,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts with 5-shingle similarity 0.8 or more stays, that of the least id."""
+    """One row of each group of texts with 5-shingle similarity 0.8 or more stays, that of the least id: by SimHash, then exactly."""
     return nearcopies.keep_one(_batched(spark, docs))
 
 

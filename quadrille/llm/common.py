@@ -38,6 +38,16 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+
+
 def tidy(run):
     """``run`` over batches; when a task ends, its worker gives freed memory back, as it stays for others."""
 
@@ -45,12 +55,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # not with every C library
-                pass
+            give_back()
 
     return tidied
 

@@ -9,8 +9,10 @@ of the first n - ceil(0.8 n) + 1 of each, so sets are filed under these. Any ord
 the same links; rare shingles come first (counts of a sample), so that lines which many
 texts have file nothing. Rows with equal sets are one set.
 
-Not all pairs of a file are compared, as only the components count. First each set is
-compared with a leader of its files, drawn by hash, round by round. Then, in files that still hold
+Not all pairs of a file are compared, as only the components count. First SimHash: sets whose
+fingerprints (by ``simhash``, of their own shingles) differ in 2 bits or fewer are found by its pigeonhole
+blocks, one set for each fingerprint, and compared. Texts at 0.8 lie up to 18 bits apart, so the files go on
+from its classes: each set is compared with a leader of its files, drawn by hash, round by round. Then, in files that still hold
 several components, each pair of different components is compared for which 0.8 is possible by
 sizes, by places of the file's shingle in both orders (a linked pair's first common shingle
 leaves enough after it) and by parities (the classes, of 256, that hold an odd number of one set's
@@ -35,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm import simhash
 from quadrille.llm.common import settle, tidy
 from quadrille.llm.components import components
 
 SHINGLE = 5
 SEED = 42
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 SAMPLE = 20_000
 BUCKETS = 128
 ROWS = 1_000
@@ -103,15 +106,16 @@ def _prints(common):
     def prints(batches):
         counts = np.frombuffer(common.value, np.uint8)
         for batch in _slices(batches):
-            ids, sizes, spread, odd, firsts = [], [], [], [], []
+            ids, sizes, marks, spread, odd, firsts = [], [], [], [], [], []
             for found in _of_rows(batch.column(2)):
                 ids.append(set_id(found))
                 sizes.append(len(found))
+                marks.append(simhash.majority(found))
                 spread.append(np.minimum(np.bincount((found >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 odd.append(np.packbits(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=_PARITIES) & 1).view(np.uint64))
                 order = np.lexsort((found, counts[(found % np.uint64(_SLOTS)).astype(np.int64)]))
                 firsts.append(found[order[: prefix(len(found))]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spread, pa.binary()), _lists(odd), _lists(firsts)], names=["row", "id", "set", "n", "spread", "odd", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(spread, pa.binary()), _lists(odd), _lists(firsts)], names=["row", "id", "set", "n", "fp", "spread", "odd", "first"])
 
     return prints
 
@@ -158,6 +162,15 @@ def _linked(pairs: DataFrame, heads: DataFrame, numbered: DataFrame) -> DataFram
     return settle(both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "nearcopies-links")
 
 
+def _alike(heads: DataFrame) -> DataFrame:
+    """Pairs by SimHash: of each fingerprint's sets with its first one, and of the first ones of fingerprints that are linked."""
+    prints = settle(heads.groupBy("fp").agg(F.min("set").alias("set")), "nearcopies-fingerprints")
+    same = heads.select("fp", F.col("set").alias("b")).join(prints.withColumnRenamed("set", "a"), "fp").where("a < b").select("a", "b")
+    x, y = (prints.select(F.col("fp").alias(c), F.col("set").alias(f"of{c}")) for c in "ab")
+    near = simhash.links(prints.select("fp")).join(x, "a").join(y, "b").select(F.least("ofa", "ofb").alias("a"), F.greatest("ofa", "ofb").alias("b"))
+    return same.unionAll(near)
+
+
 def _mixed(filed: DataFrame, roots: DataFrame, k: int) -> DataFrame:
     """Rows of the files that hold several components, with the set's component."""
     named = filed.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -192,13 +205,14 @@ def _roots(prints: DataFrame, numbered: DataFrame) -> DataFrame:
     dealt = heads.select("set", F.posexplode("first").alias("pos", "key")).repartition("key")  # dealt once, read twice
     shared = dealt.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
     filed = settle(dealt.join(shared, "key", "left_semi"), "nearcopies-filed")
+    links = _linked(_alike(heads.select("fp", "set")), heads, numbered)
+    roots = settle(components(links, "nearcopies-components"), "nearcopies-roots")
     heads = heads.select("set", "row", "n", "spread", "odd")
-    links, roots = None, None
-    for k in range(LEADER_ROUNDS + 1):
-        filed = filed.withColumn("root", F.col("set")) if roots is None else _mixed(filed, roots, k)
-        found = _linked(_led(filed, k) if k < LEADER_ROUNDS else _left(filed, heads), heads, numbered)
+    for k in range(1, LEADER_ROUNDS + 2):
+        filed = _mixed(filed, roots, k)
+        found = _linked(_led(filed, k) if k <= LEADER_ROUNDS else _left(filed, heads), heads, numbered)
         filed = filed.select("key", "set", "pos")
-        links = found if links is None else links.unionAll(found)
+        links = links.unionAll(found)
         roots = settle(components(links.distinct(), "nearcopies-components"), "nearcopies-roots")
     return roots
 
@@ -208,11 +222,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     whole = settle(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "nearcopies-rows")
     numbered = whole.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sample = numbered.sample(min(1.0, SAMPLE / max(1, numbered.count())), SEED).select("text").repartition(8)
-    common = np.zeros(_SLOTS, np.int64)
+    common = np.zeros(_SLOTS, np.uint16)  # of 8 counts up to 255
     for r in sample.mapInArrow(tidy(_slots), "counts binary").toLocalIterator():
         common += np.frombuffer(r.counts, np.uint8)
-    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(common, 255).astype(np.uint8).tobytes())
-    prints = settle(numbered.mapInArrow(tidy(_prints(counts)), "row long, id long, set long, n long, spread binary, odd array<long>, first array<long>"), "nearcopies-prints")
+    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(common, 255, out=common).astype(np.uint8).tobytes())
+    prints = settle(numbered.mapInArrow(tidy(_prints(counts)), "row long, id long, set long, n long, fp long, spread binary, odd array<long>, first array<long>"), "nearcopies-prints")
     firsts = prints.groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"))
     roots = _roots(prints, numbered)
     named = firsts.join(roots, firsts["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))

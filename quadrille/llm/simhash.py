@@ -57,6 +57,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts[::-1] * 2 > n).tobytes(), "big")
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes: a bit is 1 if set in over half of them."""
+    return int.from_bytes(np.packbits(_bit_counts(h)[::-1] * 2 > len(h)).tobytes(), "big")
+
+
 _SHIFT = np.arange(64, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
 

@@ -80,3 +80,24 @@ def test_awkward_rows(spark):
     want = sorted(repr(rows[k][:2]) for k in brute([r[:2] for r in rows]))
     assert sorted(repr((r.doc_id, r.text)) for r in nearcopies.keep_one(cases.frame(spark).coalesce(1)).collect()) == want
     assert nearcopies.keep_one(cases.frame(spark).limit(0)).count() == 0
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """Pairs come from SimHash's links and are compared exactly; what it alone finds is linked before any file is looked at."""
+    r = random.Random(8)
+    long = [f"w{r.randrange(10**6)}" for _ in range(4_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-1], "end"])), (3, "other words here and no more"), (4, " ".join(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.majority(nearcopies.shingles(t.encode())) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.MAX_BITS < (prints[0] ^ prints[2]).bit_count()
+    ids = {nearcopies.set_id(nearcopies.shingles(t.encode())): i for i, t in rows[:3]}
+    seen = []
+
+    def linked(pairs, heads, numbered, real=nearcopies._linked):
+        found = real(pairs, heads, numbered)
+        seen.append({tuple(sorted((ids[x.a], ids[x.b]))) for x in found.collect()})
+        return found
+
+    monkeypatch.setattr(nearcopies, "_linked", linked)
+    assert sorted(x.doc_id for x in nearcopies.keep_one(docs).collect()) == [1, 3]
+    assert seen[0] == {(1, 2)} and not any(seen[1:])
