@@ -12,11 +12,12 @@ texts have file nothing. Rows with equal sets are one set.
 Not all pairs of a file are compared, as only the components count. First SimHash: sets whose
 fingerprints (by ``simhash``, of their own shingles) differ in 2 bits or fewer are found by its pigeonhole
 blocks, one set for each fingerprint, and compared. Texts at 0.8 lie up to 18 bits apart, so the files go on
-from its classes: each set is compared with a leader of its files, drawn by hash, round by round. Then, in files that still hold
-several components, each pair of different components is compared for which 0.8 is possible by
+from its classes: each set is compared with two leaders of its files, drawn by hash, round by round. Then, in files that still hold
+several components, each pair of different components is compared, as with leaders, for which 0.8 is possible by
 sizes, by places of the file's shingle in both orders (a linked pair's first common shingle
 leaves enough after it) and by parities (the classes, of 256, that hold an odd number of one set's
 values and an even number of the other's are fewer than the values that differ).
+A pair of sets is given by the first of the files that they share in a row, not by each.
 A pair that is never compared is thus in one component already or below 0.8. To compare
 is to bound the difference by counts of both sets' values in ``BUCKETS`` classes, and then
 to intersect the sets, which only what passes the bound needs.
@@ -34,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash
@@ -44,6 +45,7 @@ from quadrille.llm.components import components
 SHINGLE = 5
 SEED = 42
 LEADER_ROUNDS = 2
+LEADERS, BEFORE = 6, 8
 SAMPLE = 20_000
 BUCKETS = 128
 ROWS = 1_000
@@ -171,31 +173,53 @@ def _alike(heads: DataFrame) -> DataFrame:
     return same.unionAll(near)
 
 
-def _mixed(filed: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """Rows of the files that hold several components, with the set's component."""
+def _mixed(filed: DataFrame, roots: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """Rows of the files that hold several components, with the set's component, size and parities."""
     named = filed.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return settle(named.join(several, "key", "left_semi"), f"nearcopies-mixed{k}")
+    return settle(named.join(several, "key", "left_semi").join(heads.select("set", "n", "odd"), "set"), f"nearcopies-mixed{k}")
+
+
+def _near(x: str, y: str):
+    """Whether 0.8 is possible for rows of one file, by sizes, places and parities."""
+    nx, ny, oddx, oddy = (F.col(f"{c}{s}") for c in ("n", "odd") for s in (x, y))
+    both = nx + ny
+    sizes = F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4
+    places = F.least(nx - F.col(f"pos{x}"), ny - F.col(f"pos{y}")) * 9 >= both * 4
+    differ = sum((F.bit_count(oddx[k].bitwiseXOR(oddy[k])) for k in range(_PARITIES // 64)), F.lit(0))
+    return sizes & places & (differ * 9 <= both)
+
+
+_ROW = ("set", "root", "pos", "n", "odd")
 
 
 def _led(filed: DataFrame, k: int) -> DataFrame:
-    """Pairs of each set with a leader of its files that is not in its component yet; leaders differ by file and round."""
-    salt, own = F.xxhash64("key", F.lit(k)), F.xxhash64("set", F.lit(k))
-    dealt = filed.select("key", "set", "root").repartition("key")
-    leaders = dealt.groupBy("key").agg(F.min(F.struct(F.col("set").bitwiseXOR(salt).alias("mark"), F.col("set").alias("leader"), F.col("root").alias("of"))).alias("l")).select("key", "l.leader", "l.of")
-    met = dealt.join(leaders, "key").where("of <> root").groupBy("set").agg(F.min(F.struct(F.col("leader").bitwiseXOR(own).alias("mark"), "leader")).alias("l")).select("set", "l.leader")
-    return met.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+    """Pairs of each set with two leaders of its files, at most, that are not in its component yet and for which 0.8 is possible.
+
+    A file has ``LEADERS`` of them, which differ by file and round.
+    """
+    dealt = filed.select("key", *[F.col(c).alias(c + "x") for c in _ROW]).repartition("key")
+    first = [F.min(F.struct(F.col("setx").bitwiseXOR(F.xxhash64("key", F.lit(k), F.lit(i))).alias("mark"), *[F.col(c + "x").alias(c + "y") for c in _ROW])) for i in range(LEADERS)]
+    leaders = dealt.groupBy("key").agg(F.array(*first).alias("l")).select("key", F.explode(F.array_distinct(F.transform("l", lambda x: x.dropFields("mark")))).alias("l")).select("key", "l.*")
+    met = dealt.join(leaders, "key").where((F.col("rootx") != F.col("rooty")) & _near("x", "y"))
+    one = F.struct(F.col("sety").bitwiseXOR(F.xxhash64("setx", F.lit(k))).alias("mark"), F.col("sety").alias("leader"))
+    two = met.groupBy("setx").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).select("setx", F.explode(F.array("lo.leader", "hi.leader")).alias("leader"))
+    return two.select(F.least("setx", "leader").alias("a"), F.greatest("setx", "leader").alias("b")).distinct()
 
 
-def _left(filed: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs of different components that share a file and for which 0.8 is possible."""
-    x, y = (filed.join(heads.select("set", "n", "odd"), "set").select("key", *[F.col(c).alias(c + s) for c in ("set", "root", "pos", "n", "odd")]) for s in "xy")
-    both = F.col("nx") + F.col("ny")
-    sizes = F.least("nx", "ny") * 5 >= F.greatest("nx", "ny") * 4
-    places = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) * 9 >= both * 4
-    differ = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(_PARITIES // 64)), F.lit(0))
-    pairs = x.join(y, "key").where((F.col("setx") < F.col("sety")) & (F.col("rootx") != F.col("rooty")) & sizes & places & (differ * 9 <= both))
-    return pairs.select(F.col("setx").alias("a"), F.col("sety").alias("b")).distinct()
+def _left(filed: DataFrame) -> DataFrame:
+    """Pairs of different components that share a file and for which 0.8 is possible.
+
+    A file's most frequent component is not compared with itself, and a pair is not given by a file if
+    one of the ``BEFORE`` files before it, in the orders of both sets, is the same: that one gives it.
+    """
+    most = filed.groupBy("key").agg(F.mode("root", True).alias("most"))
+    before = F.collect_list("key").over(Window.partitionBy("set").orderBy("pos").rowsBetween(-BEFORE, -1))
+    rows = settle(filed.withColumn("before", before).join(most, "key").withColumn("many", F.col("root") == F.col("most")).select("key", *_ROW, "before", "many"), "nearcopies-left")
+    x, y = (rows.select("key", *[F.col(c).alias(c + s) for c in (*_ROW, "before", "many")]) for s in "xy")
+    other = (F.col("rootx") != F.col("rooty")) & (F.col("manyy") | (F.col("setx") < F.col("sety")))
+    pairs = x.where("NOT manyx").join(y, "key").where(other & _near("x", "y") & ~F.arrays_overlap("beforex", "beforey"))
+    return pairs.select(F.least("setx", "sety").alias("a"), F.greatest("setx", "sety").alias("b")).distinct()
 
 
 def _roots(prints: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -209,8 +233,8 @@ def _roots(prints: DataFrame, numbered: DataFrame) -> DataFrame:
     roots = settle(components(links, "nearcopies-components"), "nearcopies-roots")
     heads = heads.select("set", "row", "n", "spread", "odd")
     for k in range(1, LEADER_ROUNDS + 2):
-        filed = _mixed(filed, roots, k)
-        found = _linked(_led(filed, k) if k <= LEADER_ROUNDS else _left(filed, heads), heads, numbered)
+        filed = _mixed(filed, roots, heads, k)
+        found = _linked(_led(filed, k) if k <= LEADER_ROUNDS else _left(filed), heads, numbered)
         filed = filed.select("key", "set", "pos")
         links = links.unionAll(found)
         roots = settle(components(links.distinct(), "nearcopies-components"), "nearcopies-roots")

@@ -101,3 +101,32 @@ def test_simhash_comes_first(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "_linked", linked)
     assert sorted(x.doc_id for x in nearcopies.keep_one(docs).collect()) == [1, 3]
     assert seen[0] == {(1, 2)} and not any(seen[1:])
+
+
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies on both sides of 0.8 of one text, whose files hold them all: fewer pairs are compared than 16 for each text."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for k in r.sample(range(160), r.randint(1, 4)):
+            words[k] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+
+    def linked(pairs, heads, numbered, real=nearcopies._linked):
+        compared.append(pairs.count())
+        return real(pairs, heads, numbered)
+
+    monkeypatch.setattr(nearcopies, "_linked", linked)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in nearcopies.keep_one(docs.coalesce(1)).collect()) == brute(rows)
+    assert sum(compared) < 16 * len(rows)
+
+
+def test_files_of_a_pair_give_it_once(spark):
+    """Two sets that share 30 files in a row are one pair, and so is a pair of the most frequent component and another."""
+    rows = [(k, s, s, k, 200, [0, 0, 0, 0]) for s in (1, 2, 3) for k in range(30)] + [(k, 4, 3, k, 200, [0, 0, 0, 0]) for k in range(30)]
+    filed = spark.createDataFrame(rows, "key long, set long, root long, pos long, n long, odd array<long>")
+    assert sorted(map(tuple, nearcopies._left(filed).collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
