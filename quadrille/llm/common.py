@@ -81,6 +81,12 @@ def unsettle(df: DataFrame) -> None:
         delete(spark, files[0].rpartition("/")[0])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """What frames that are gone have shuffled is deleted now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash
-from quadrille.llm.common import settle, tidy
+from quadrille.llm.common import free_shuffles, settle, tidy, unsettle
 from quadrille.llm.components import components
 
 SHINGLE = 5
 SEED = 42
 LEADER_ROUNDS = 2
-LEADERS, BEFORE = 6, 8
+LEADERS, BEFORE = 6, 4
 SAMPLE = 20_000
 BUCKETS = 128
 ROWS = 1_000
@@ -161,7 +161,10 @@ def _linked(pairs: DataFrame, heads: DataFrame, numbered: DataFrame) -> DataFram
     held = possible.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(heads, "set").select("row")
     sets = settle(_listed(numbered.select("row", "text"), held, True, _sets, "set long, all array<long>"), "nearcopies-sets")
     both = possible.join(sets.select(F.col("set").alias("a"), F.col("all").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("all").alias("y")), "b")
-    return settle(both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "nearcopies-links")
+    found = settle(both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "nearcopies-links")
+    unsettle(sets)
+    unsettle(possible)
+    return found
 
 
 def _alike(heads: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def _left(filed: DataFrame) -> DataFrame:
     """
     most = filed.groupBy("key").agg(F.mode("root", True).alias("most"))
     before = F.collect_list("key").over(Window.partitionBy("set").orderBy("pos").rowsBetween(-BEFORE, -1))
-    rows = settle(filed.withColumn("before", before).join(most, "key").withColumn("many", F.col("root") == F.col("most")).select("key", *_ROW, "before", "many"), "nearcopies-left")
+    rows = filed.withColumn("before", before).join(most, "key").withColumn("many", F.col("root") == F.col("most")).select("key", *_ROW, "before", "many")
     x, y = (rows.select("key", *[F.col(c).alias(c + s) for c in (*_ROW, "before", "many")]) for s in "xy")
     other = (F.col("rootx") != F.col("rooty")) & (F.col("manyy") | (F.col("setx") < F.col("sety")))
     pairs = x.where("NOT manyx").join(y, "key").where(other & _near("x", "y") & ~F.arrays_overlap("beforex", "beforey"))
@@ -229,15 +232,21 @@ def _roots(prints: DataFrame, numbered: DataFrame) -> DataFrame:
     dealt = heads.select("set", F.posexplode("first").alias("pos", "key")).repartition("key")  # dealt once, read twice
     shared = dealt.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
     filed = settle(dealt.join(shared, "key", "left_semi"), "nearcopies-filed")
+    del dealt, shared
+    free_shuffles(filed.sparkSession)
     links = _linked(_alike(heads.select("fp", "set")), heads, numbered)
     roots = settle(components(links, "nearcopies-components"), "nearcopies-roots")
     heads = heads.select("set", "row", "n", "spread", "odd")
     for k in range(1, LEADER_ROUNDS + 2):
-        filed = _mixed(filed, roots, heads, k)
+        filed, before = _mixed(filed.select("key", "set", "pos"), roots, heads, k), filed
+        unsettle(before)
+        del before
+        free_shuffles(filed.sparkSession)
         found = _linked(_led(filed, k) if k <= LEADER_ROUNDS else _left(filed), heads, numbered)
-        filed = filed.select("key", "set", "pos")
         links = links.unionAll(found)
         roots = settle(components(links.distinct(), "nearcopies-components"), "nearcopies-roots")
+        free_shuffles(filed.sparkSession)
+    unsettle(filed)
     return roots
 
 
