@@ -21,8 +21,7 @@ range of the sorted table finds them by itself, but for those that go on in the
 beside it; these are told by the ranges' ends (at most ``RANGES``). The counts of the other
 contexts are hashed into tables of 2**16 to 2**21 slots, by the number of distinct tokens,
 which are added up chunk by chunk and broadcast. The weights, 64 sets of 8 numbers, are
-learned online from at most about ``LESSONS`` of the tokens with their leads, those of the
-least hashes (documented bound; all else covers all tokens): the tokens of a shard, in the
+learned online from all tokens with their leads: the tokens of a shard, in the
 order of their hashes, step through mini-batches, each occurrence with its own contribution
 taken out of the counts; the shards' weights are averaged by their number of occurrences.
 The probability map, 256 by 33 numbers, is counted over the same tokens. Shards follow from the number of tokens,
@@ -52,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import bytetext
-from quadrille.llm.common import fold_of, settle, unsettle
+from quadrille.llm.common import fold_of, free_shuffles, settle, tidy, unsettle
 
 FOLDS, HELD = 7, 2
 LEADS = 12
@@ -64,7 +63,7 @@ DEPTH = 8 * PREFIX
 CHUNK = 1 << 12
 FREQUENT = 200_000
 RANGE_TOKENS, RANGES = 50_000, 2048
-SHARD_TOKENS, LESSONS = 30_000, 200_000
+SHARD_TOKENS = 30_000
 SHORT = 4
 END = 255
 POSITIONS = 8_192
@@ -550,6 +549,7 @@ def with_paths(counted: DataFrame, ranges: int) -> DataFrame:
     extras = counted.sparkSession.sparkContext.broadcast(beside([tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, e)) for e in edges]))
     found = settle(ranged.groupBy("part").applyInArrow(_with_paths(extras), TOKENS), "mixing-paths")
     unsettle(ranged)
+    free_shuffles(counted.sparkSession)
     return found
 
 
@@ -560,24 +560,25 @@ def train(tokens: DataFrame, distinct: int, total: int) -> Model:
     known = tokens.where("n > 0")
     counts = np.zeros((sum(2 << w for w in widths) + CHUNK - 1) // CHUNK * CHUNK + len(widths) * CHUNK, dtype=np.int64)
     starts = np.cumsum([0, *(-(-(2 << w) // CHUNK) for w in widths)])
-    for r in known.select("key", "lead", "n").mapInArrow(_count_bits(widths), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").toLocalIterator():
+    for r in known.select("key", "lead", "n").mapInArrow(tidy(_count_bits(widths)), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary").toLocalIterator():
         part = np.frombuffer(r.counts, dtype=np.int64)
         counts[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
     model = Model([counts[a * CHUNK : a * CHUNK + (2 << w)] for a, w in zip(starts, widths)], total)
     del counts
     sent = sc.broadcast(model)
     units = known.count()
-    shards = max(1, -(-min(units, LESSONS) // SHARD_TOKENS))
-    lessons = known.withColumn("order", F.xxhash64("key", "lead")).where(F.shiftrightunsigned("order", 34) < int(2**30 * min(1.0, LESSONS / max(units, 1))))
-    dealt = lessons.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
+    shards = max(1, -(-units // SHARD_TOKENS))
+    dealt = known.drop("m").withColumn("order", F.xxhash64("key", "lead")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
     learned = sorted(dealt.groupBy("shard").applyInArrow(_learn_weights(sent), "shard int, weights binary, n long").collect())
     occurrences = sum(r.n for r in learned)
     if not occurrences:
         return model
     model.weights = sum(np.frombuffer(r.weights).reshape(GATES, PREDICTORS + 1) * (r.n / occurrences) for r in learned).astype(np.float32)
     sent.unpersist()
+    del dealt
+    free_shuffles(tokens.sparkSession)
     sent = sc.broadcast(model)
-    ones, seen = sum(np.frombuffer(r.seen).reshape(2, -1) for r in lessons.select(*known.columns).mapInArrow(_count_map(sent), "seen binary").collect())
+    ones, seen = sum(np.frombuffer(r.seen).reshape(2, -1) for r in known.mapInArrow(tidy(_count_map(sent)), "seen binary").collect())
     sent.unpersist()
     centre = np.tile(1 / (1 + np.exp(-(np.arange(BINS) - BINS // 2) * 12 / (BINS // 2))), 256)
     model.map = np.clip((ones + 20 * centre) / (seen + 20), 1e-6, 1 - 1e-6).astype(np.float32)
@@ -684,9 +685,9 @@ def modelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranges
     spark = docs.sparkSession
     training = fold_of(F.col(id_col).cast("long"), FOLDS) != HELD
     rows = docs.select(F.col(text).cast("string").alias("t"), training.alias("training"))
-    short = rows.mapInArrow(_count_short, "key binary, m long").groupBy("key").agg(F.sum("m").alias("m"))
+    short = rows.mapInArrow(tidy(_count_short), "key binary, m long").groupBy("key").agg(F.sum("m").alias("m"))
     leads = {bytes(r.key): k for k, r in enumerate(short.orderBy(F.desc("m"), "key").limit(LEADS).collect(), 1)}
-    words = rows.mapInArrow(_count_tokens(leads), COUNTED).groupBy("key", "lead").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    words = rows.mapInArrow(tidy(_count_tokens(leads)), COUNTED).groupBy("key", "lead").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     ends = rows.agg(F.count_if("training").alias("n"), F.count(F.lit(1)).alias("m")).select(F.lit(bytes([END])).alias("key"), F.lit(0).alias("lead"), "n", "m")
     counted = settle(words.unionByName(ends), "mixing-tokens")
     size = counted.groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count(F.lit(1)).alias("all")).first()
@@ -694,7 +695,7 @@ def modelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranges
         ranges = min(RANGES, max(1, -(-size["all"] // RANGE_TOKENS)))
     tokens = with_paths(counted, ranges)
     model = spark.sparkContext.broadcast(train(tokens, size.v, size.n))
-    logs = settle(tokens.mapInArrow(_logs(model), "key binary, lead int, n long, m long, log double"), "mixing-logs")
+    logs = settle(tokens.mapInArrow(tidy(_logs(model)), "key binary, lead int, n long, m long, log double"), "mixing-logs")
     unsettle(counted)
     unsettle(tokens)
     return logs, leads, size.n, size.v
@@ -708,7 +709,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", frequent
     mass = float(total + distinct + 1)
     known = sc.broadcast(_frequent(tokens, frequent, len(leads)))
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    parts = settle(rows.mapInArrow(_score(known, leads, end.log, past), SCORED), "mixing-scored")
+    parts = settle(rows.mapInArrow(tidy(_score(known, leads, end.log, past)), SCORED), "mixing-scored")
     rare = parts.where("key IS NOT NULL").select("row_no", "key", "lead", "weight", "share").join(tokens.select("key", "lead", "n", "log"), ["key", "lead"])
     rare = rare.groupBy("row_no").agg(
         F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"),

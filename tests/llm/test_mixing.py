@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import mixing
@@ -130,3 +131,29 @@ def test_a_long_token_keeps_all_its_bits(spark):
         once, twice, thrice = sorted((r.score, r.n_tokens) for r in mixing.scored(docs, frequent=frequent).collect() if r.doc_id == out)[::-1]
         assert [n for _, n in (once, twice, thrice)] == [2, 3, 4]
         assert math.isfinite(thrice[0]) and once[0] < -2000 and twice[0] - once[0] < -2000 and -10 < thrice[0] - twice[0] < 0
+
+
+def test_weights_and_map_are_learned_from_all_tokens(spark, monkeypatch):
+    """Each shard's part of the weights is its number of tokens here, and the map counts them."""
+    n = 250_000
+    tokens = spark.range(n).selectExpr("cast(cast(id as string) as binary) as key", "0 as lead", "1L as total", "1L as n", "1L as m", "array(1L) as path")
+    gates, width, cells = mixing.GATES, mixing.PREDICTORS + 1, 256 * mixing.BINS
+
+    def learn(model):
+        return lambda t: pa.table({"shard": t["shard"][:1], "weights": pa.array([np.full((gates, width), float(len(t))).tobytes()], pa.binary()), "n": pa.array([1], pa.int64())})
+
+    def count(model):
+        def run(batches):
+            seen = np.zeros((2, cells))
+            seen[1] = sum(map(len, batches))
+            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+        return run
+
+    monkeypatch.setattr(mixing, "_learn_weights", learn)
+    monkeypatch.setattr(mixing, "_count_map", count)
+    monkeypatch.setattr(mixing, "_count_bits", lambda widths: lambda batches: iter(()))
+    model = mixing.train(tokens, n, n)
+    shards = -(-n // mixing.SHARD_TOKENS)
+    assert np.allclose(model.weights, n / shards)
+    assert math.isclose(model.map[mixing.BINS // 2], 10 / (n + 20), rel_tol=1e-4)
