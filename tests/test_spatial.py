@@ -337,3 +337,23 @@ def test_window_searches_by_one_layout_equal_full_ones(spark, monkeypatch):
     monkeypatch.setattr(replay, "MOST_APART", 0)
     assert by_layout == bag(replay.window_knn(periods, asking, 4, 2, length=3))
     assert fractions == bag(replay.window_knn(doubles, asked, 4, 2, length=3))
+
+
+def test_open_boxes_are_split_by_their_widths_and_sent_in_small_parts(spark, monkeypatch):
+    from quadrille.operators import cells as layout
+    from quadrille.plans import catalog
+
+    rows = [(random.Random(k).randrange(1, 51), 90_000 + 10 * random.Random(-k).randrange(1_000)) for k in range(3_000)]
+    points = made(spark, rows)
+    boxes = points.where("id % 10 = 0").selectExpr("id as qid", "c0 - 3 as lo0", "c1 - 4000 as lo1", "c0 + 3 as hi0", "c1 + 4000 as hi1")
+    strict = bag(ranges.report_boxes(boxes.selectExpr("qid", "lo0 + 1 as lo0", "lo1 + 1 as lo1", "hi0 - 1 as hi0", "hi1 - 1 as hi1"), points, 2))
+    asked = []
+    dealt = CellTable._dealt
+    monkeypatch.setattr(CellTable, "_dealt", lambda self, routed, held: asked.append((self, routed)) or dealt(self, routed, held))
+    monkeypatch.setattr(V, "parts", lambda spark, sf: points)
+    monkeypatch.setattr(layout, "ROUTED_ROWS", 7, raising=False)
+    monkeypatch.setattr(CellTable.__init__, "__defaults__", tuple(16 if d == layout.CELL_ROWS else d for d in CellTable.__init__.__defaults__))
+    assert bag(catalog.range_report_open_box(spark, "")) == strict
+    (cells, routed), = asked
+    sizes = dict(cells.points.groupBy("cell").count().collect())
+    assert sum(sizes[r.cell] for r in routed.select("cell").collect()) < 2 * len(strict)
