@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontaminate, nearcopies, packing, pii, quality
-from quadrille.llm.common import delete, give_back, scratch, settle, table
+from quadrille.llm.common import delete, give_back, scratch, settle, shrink_executors, table
 
 
 #: Rows in a batch between Spark and its Python workers, so that long texts don't pile up in an executor.
@@ -23,6 +23,7 @@ BATCH_ROWS = 1_000
 
 def _batched(spark: SparkSession, docs: DataFrame) -> DataFrame:
     give_back()  # what the driver held in the stage before
+    shrink_executors(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs
 

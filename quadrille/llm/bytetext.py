@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 2_000_000
+SLAB_BYTES = 500_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

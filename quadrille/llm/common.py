@@ -48,6 +48,15 @@ def give_back() -> None:
         pass
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their heaps shrink to what is in use and leave room for the workers of what comes next.
+
+    A heap once grown stays else, and counts beside the Python processes.
+    """
+    n = 1 if spark.sparkContext.master.startswith("local[") else spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def tidy(run):
     """``run`` over batches; when a task ends, its worker gives freed memory back, as it stays for others."""
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash
-from quadrille.llm.common import free_shuffles, settle, tidy, unsettle
+from quadrille.llm.common import free_shuffles, settle, shrink_executors, tidy, unsettle
 from quadrille.llm.components import components
 
 SHINGLE = 5
@@ -238,6 +238,7 @@ def _roots(prints: DataFrame, numbered: DataFrame) -> DataFrame:
     roots = settle(components(links, "nearcopies-components"), "nearcopies-roots")
     heads = heads.select("set", "row", "n", "spread", "odd")
     for k in range(1, LEADER_ROUNDS + 2):
+        shrink_executors(filed.sparkSession)
         filed, before = _mixed(filed.select("key", "set", "pos"), roots, heads, k), filed
         unsettle(before)
         del before

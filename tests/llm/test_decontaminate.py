@@ -85,3 +85,19 @@ def test_spans_of_several_blocks_are_cut_from_the_original_text(spark):
     assert any("left" in x and "right" in x for x in want)
     got = decontaminate.remove_contamination(docs, bench, "spans", block_bytes=60)
     assert got.schema == docs.schema and sorted(map(repr, got.collect())) == want
+
+
+def test_a_task_holds_little_beside_its_batch():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000), pa.int64()), pa.array(["some words of a text " * 200] * 1_000)], names=["row_no", "t"])
+    scan = decontaminate._scanner(SimpleNamespace(value=decontaminate.GramSet([("a", "other words")], 10)))
+    list(scan([batch.slice(0, 1)]))
+    tracemalloc.start()
+    found = pa.Table.from_batches(scan([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_words"].to_pylist() == [1_000] * 1_000 and peak < 45_000_000

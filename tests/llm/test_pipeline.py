@@ -66,3 +66,16 @@ def test_awkward_rows_through_all_stages(spark, tmp_path):
         assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
         assert sorted({r.doc_id for r in pieces}, key=repr) == sorted({i for i, _ in last}, key=repr)
         assert sum(r.start == 0 for r in pieces) == len(last)
+
+
+def test_executors_collect_their_garbage_before_each_stage(spark, monkeypatch):
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = beans()
+    corpus_pipeline.shrink_executors(spark)
+    assert beans() > before
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "shrink_executors", called.append)
+    docs = cases.frame(spark)
+    for k, (_, stage) in enumerate([s for s in corpus_pipeline.STAGES if s[0] in ("pii", "packing")], 1):
+        stage(spark, docs, "")
+        assert len(called) == k
