@@ -357,3 +357,44 @@ def test_open_boxes_are_split_by_their_widths_and_sent_in_small_parts(spark, mon
     (cells, routed), = asked
     sizes = dict(cells.points.groupBy("cell").count().collect())
     assert sum(sizes[r.cell] for r in routed.select("cell").collect()) < 2 * len(strict)
+
+
+def test_a_cell_gives_all_that_regions_hold_in_small_parts():
+    import numpy as np
+
+    from quadrille.operators import celltree
+    from quadrille.operators.celltree import BUCKET, Balls, Boxes, Buckets, OpenBoxes
+
+    rng = np.random.default_rng(7)
+    for n in (1, 63, 64, 65, 1_500):
+        for kind in ("int64", "float64"):
+            x, lo = rng.integers(0, 30, (n, 2)).astype(kind), rng.integers(-3, 30, (600, 2)).astype(kind)
+            hi, far = lo + rng.integers(-1, 28, (600, 2)).astype(kind), rng.integers(0, 20, 600).astype(kind)
+            buckets = Buckets(x)
+            assert (buckets.count[:-1] == BUCKET).all() and buckets.count.sum() == n
+            for regions, held in (
+                (Boxes(lo, hi), lambda q: ((x >= lo[q]) & (x <= hi[q])).all(axis=1)),
+                (OpenBoxes(lo, hi), lambda q: ((x > lo[q]) & (x < hi[q])).all(axis=1)),
+                (Balls(lo, far), lambda q: ((x - lo[q]) ** 2).sum(axis=1) <= far[q] ** 2),
+            ):
+                parts = list(buckets.reports(regions))
+                assert all(len(r) == len(place) <= celltree.CHUNK * celltree.TILE * BUCKET for r, place in parts)
+                assert sorted((r, buckets.order[p]) for rs, ps in parts for r, p in zip(rs.tolist(), ps.tolist())) == [(q, p) for q in range(600) for p in np.flatnonzero(held(q)).tolist()]
+
+
+@pytest.mark.parametrize("name", ["cell_range_report"])
+def test_wide_regions_are_sent_to_few_cells(spark, monkeypatch, name):
+    from quadrille.operators import cells as layout
+    from quadrille.plans import catalog
+
+    points = made(spark, [(random.Random(k).randrange(1, 51), 90_000 + 10 * random.Random(-k).randrange(1_000)) for k in range(600)])
+    boxes = points.selectExpr("id as qid", "c0 - 3 as lo0", "c1 - 4000 as lo1", "c0 + 3 as hi0", "c1 + 4000 as hi1")
+    balls = workloads.as_queries(points, 2).selectExpr("*", "3000l as r")
+    asked = []
+    dealt = CellTable._dealt
+    monkeypatch.setattr(CellTable, "_dealt", lambda self, routed, held: asked.append(routed) or dealt(self, routed, held))
+    monkeypatch.setattr(V, "parts", lambda spark, sf: points)
+    monkeypatch.setattr(CellTable.__init__, "__defaults__", tuple(16 if d == layout.CELL_ROWS else d for d in CellTable.__init__.__defaults__))
+    found = getattr(catalog, name)(spark, "")
+    assert bag(found) == bag(ranges.report_balls(balls, points, 2) if "ball" in name else ranges.report_boxes(boxes, points, 2))
+    assert asked[0].count() <= 2 * 600
