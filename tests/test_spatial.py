@@ -382,7 +382,7 @@ def test_a_cell_gives_all_that_regions_hold_in_small_parts():
                 assert sorted((r, buckets.order[p]) for rs, ps in parts for r, p in zip(rs.tolist(), ps.tolist())) == [(q, p) for q in range(600) for p in np.flatnonzero(held(q)).tolist()]
 
 
-@pytest.mark.parametrize("name", ["cell_range_report", "range_report_ball"])
+@pytest.mark.parametrize("name", ["cell_range_report", "range_report_ball", "range_report_box"])
 def test_wide_regions_are_sent_to_few_cells(spark, monkeypatch, name):
     from quadrille.operators import cells as layout
     from quadrille.plans import catalog
