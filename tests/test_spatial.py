@@ -398,3 +398,19 @@ def test_wide_regions_are_sent_to_few_cells(spark, monkeypatch, name):
     found = getattr(catalog, name)(spark, "")
     assert bag(found) == bag(ranges.report_balls(balls, points, 2) if "ball" in name else ranges.report_boxes(boxes, points, 2))
     assert asked[0].count() <= 2 * 600
+
+
+def test_runs_are_cut_by_the_widths_of_boxes():
+    import numpy as np
+
+    from quadrille.operators.celltree import Balls, Boxes, Buckets
+
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(1, 51, 6_000), 90_000 + 10 * rng.integers(0, 1_000, 6_000)], axis=1)
+    boxes = Boxes(x[:300] - [3, 4_000], x[:300] + [3, 4_000])
+    buckets = Buckets(x, boxes.widths())
+    held = [((x >= a) & (x <= b)).all(axis=1) for a, b in zip(boxes.lo, boxes.hi)]
+    assert sorted((r, buckets.order[p]) for rs, ps in buckets.reports(boxes) for r, p in zip(rs.tolist(), ps.tolist())) == [(q, p) for q in range(300) for p in np.flatnonzero(held[q]).tolist()]
+    compared = sum(int(buckets.count[b].sum()) for _, b, _ in buckets.pairs(boxes, np.arange(300)))
+    assert compared < 1.7 * sum(h.sum() for h in held)
+    assert Boxes(x, x).widths() is None and Balls(x, x[:, 0]).widths() is None
